@@ -1,8 +1,8 @@
 """All queries of this package, and the SQL for those that SQL can express."""
 
-from . import bpe, topk, url_filter, warc
+from . import bpe, mixing, quality_rules, topk, url_filter, warc
 
-_MODULES = (bpe, url_filter, warc, topk)
+_MODULES = (mixing, bpe, quality_rules, url_filter, warc, topk)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
