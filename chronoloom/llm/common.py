@@ -1,8 +1,9 @@
-"""What several operators share: checkpoints, free column names, ranged runs and small joins."""
+"""What several operators share: tables that cut lineage, free column names, ranged runs and small joins."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,15 +20,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder of ``spark.checkpoint.dir``.
+    """df computed once, written to the shared folder of ``spark.checkpoint.dir`` and read from there.
 
     The setting is the session's. Only where it has none, as in tests on one machine, a temporary
-    folder is taken.
+    folder is taken. A table is written, not a checkpoint: that would keep the partitionings and
+    constraints of the plan that made it, which multiply in a loop until planning takes longer than the
+    work. Tables stay for as long as the folder's owner keeps them.
     """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -53,7 +58,7 @@ def ranged(df: DataFrame, order: Sequence[Column], part: str = "part") -> DataFr
     """df dealt in the order given to about equal ranges, with the range's number in ``part``.
 
     A hot key spreads over many ranges as long as a later column of the order tells its rows
-    apart. The result is checkpointed: a range's number must not change when rows are read again.
+    apart. The result is written: a range's number must not change when rows are read again.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cut(df.repartitionByRange(parts, *order).withColumn(part, F.spark_partition_id()))

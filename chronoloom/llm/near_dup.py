@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, free_name, read
+from .common import WORD, cut, read
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -184,7 +184,7 @@ def connected(links: DataFrame) -> DataFrame:
     """node and label, the smallest node of its component, for all nodes of links (a, b).
 
     Each round takes the smallest label among a node and its neighbours, then that label's own, so
-    labels travel twice as far each time. Labels are checkpointed; counts of changes end it.
+    labels travel twice as far each time. Labels are written each round; it ends when none changes.
     """
     edges = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")))
@@ -199,14 +199,20 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def _members(buckets: DataFrame) -> DataFrame:
-    """bucket, print and size, for buckets of two or more of (bucket, print), each pair distinct."""
+    """bucket, print, path and size, for buckets of two or more of (bucket, print, path), each pair of
+    bucket and print distinct."""
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > 1)
     return cut(buckets.join(sizes, "bucket"))
 
 
-def _links(members: DataFrame, shingles: DataFrame) -> DataFrame:
-    """a, b: verified links that connect what is alike in the buckets."""
-    found = None
+def _links(members: DataFrame, shingles: DataFrame) -> DataFrame | None:
+    """a, b: verified links that connect what is alike in the buckets; None without buckets.
+
+    A bucket's path is the hubs that its members were compared with on the way to it. For each path
+    and member, ``rest`` has the member's shingles that none of these hubs has, by which it is dealt
+    on. A hub of a bucket has the shingle that made it, so the rest shrinks from round to round.
+    """
+    found = rest = None
     while not members.isEmpty():
         drawn = members.groupBy("print").agg(F.sum("size").alias("drawn"))
         hubs = members.join(drawn, "print").groupBy("bucket").agg(F.max_by("print", F.struct("drawn", "print")).alias("hub"))
@@ -219,17 +225,41 @@ def _links(members: DataFrame, shingles: DataFrame) -> DataFrame:
         labelled = with_hub.join(labels.withColumnRenamed("node", "print"), "print", "left").withColumn("label", F.coalesce("label", "print"))
         mixed = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where(F.col("least") != F.col("most")).select("bucket")
         left = cut(labelled.join(mixed, "bucket"))
-        few = left.where(F.col("size") <= SMALL)
-        pairs = few.select("bucket", F.col("print").alias("a"), F.col("label").alias("la")).join(few.select("bucket", F.col("print").alias("b"), F.col("label").alias("lb"), "hub"), "bucket")
-        pairs = pairs.where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.col("a") != F.col("hub")) & (F.col("b") != F.col("hub"))).select("a", "b").distinct()
+        few = left.where((F.col("size") <= SMALL) & (F.col("print") != F.col("hub")))
+        pairs = few.select("bucket", F.col("print").alias("a"), F.col("label").alias("la")).join(few.select("bucket", F.col("print").alias("b"), F.col("label").alias("lb")), "bucket")
+        pairs = pairs.where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b").distinct()
         more = _verified(pairs.withColumn("wide", F.lit(False)), shingles).where("linked").select("a", "b")
         found = cut(found.unionByName(more).distinct())
-        many = left.where(F.col("size") > SMALL).select(F.col("print").alias("a"), F.col("hub").alias("b")).distinct()
-        dealt = judged.join(many, ["a", "b"]).select(F.col("a").alias("print"), F.explode("lacking").alias("h"), "b").select(F.xxhash64("b", "h").alias("bucket"), "print").distinct()
-        members = _members(dealt)
+        many = left.where((F.col("size") > SMALL) & (F.col("print") != F.col("hub"))).select("path", F.col("print").alias("a"), F.col("hub").alias("b")).distinct()
+        many = many.join(judged.select("a", "b", "lacking"), ["a", "b"])
+        if rest is not None:
+            many = many.join(rest.withColumnRenamed("print", "a"), ["path", "a"]).withColumn("lacking", F.array_intersect("rest", "lacking"))
+        rest = cut(many.select(F.xxhash64("path", "b").alias("path"), F.col("a").alias("print"), F.col("lacking").alias("rest")))
+        dealt = rest.select("path", "print", F.explode("rest").alias("h"))
+        members = _members(dealt.select(F.xxhash64("path", "h").alias("bucket"), "print", "path"))
     return found
 
 
+def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of (doc_id, text), text not null: doc_id and print by row; and by print, the text's MD5: first
+    (a struct that orders its keys, null last: without, key), n_first (its rows of that key), n (its
+    rows) and label (the same for all texts of a class)."""
+    rows = cut(_sketched(docs))
+    by_key = rows.groupBy("print", "doc_id").agg(F.count("*").alias("n"), F.first("sketches").alias("sketches"))
+    first = F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("key"))
+    nodes = cut(by_key.groupBy("print").agg(F.min(F.struct(first.alias("first"), F.col("n").alias("n_first"))).alias("f"), F.sum("n").alias("n"), F.first("sketches").alias("sketches")).select("print", "f.first", "f.n_first", "n", "sketches"))
+    buckets = nodes.select("print", F.posexplode("sketches").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "print", F.lit(0).cast("long").alias("path"))
+    members = _members(buckets.distinct())
+    wanted = members.select("print").distinct().join(nodes.select("print", F.col("first.key").alias("key")), "print")
+    texts = docs.withColumn("print", F.unhex(F.md5("text"))).join(wanted.withColumnRenamed("print", "p"), F.col("doc_id").eqNullSafe(F.col("key")) & (F.col("print") == F.col("p")), "left_semi")
+    shingles = cut(_shingled(texts.select("print", "text").dropDuplicates(["print"])))
+    links = _links(members, shingles)
+    if links is None:
+        return rows, nodes.withColumn("label", F.col("print")).drop("sketches")
+    labels = nodes.drop("sketches").join(connected(links).withColumnRenamed("node", "print"), "print", "left")
+    return rows, cut(labels.withColumn("label", F.coalesce("label", "print")))
+
+
 def duplicate_classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, class_id and n_class (rows of the class) of each row; class_id is the class's smallest key.
 
@@ -238,42 +268,29 @@ def duplicate_classes(docs: DataFrame, text: str = "text", key: str = "doc_id")
     class of null keys only has a null class_id. Repeated rows keep their rows. An empty table gives
     none; other columns are not read.
     """
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    full = rows.where(F.col("text").isNotNull())
-    sketched = cut(_sketched(full))
-    nodes = cut(sketched.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("sketches").alias("sketches")))
-    buckets = nodes.select("print", F.posexplode("sketches").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "print")
-    members = _members(buckets.distinct())
-    wanted = members.select("print").distinct().join(nodes.select("print", "least"), "print")
-    texts = full.withColumn("print", F.unhex(F.md5("text"))).join(wanted, (F.col("doc_id").eqNullSafe(F.col("least"))) & (wanted["print"] == F.unhex(F.md5("text"))), "left_semi")
-    shingles = cut(_shingled(texts.select("print", "text").dropDuplicates(["print"])))
-    links = _links(members, shingles)
-    labels = nodes.withColumn("label", F.col("print")) if links is None else nodes.join(connected(links).withColumnRenamed("node", "print"), "print", "left").withColumn("label", F.coalesce("label", "print"))
-    labels = cut(labels.select("print", "least", "n", "label"))
-    classes = labels.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("n_class"))
-    by_print = labels.join(classes, "label").select("print", "class_id", "n_class")
-    known = sketched.select("doc_id", "print").join(by_print, "print").select("doc_id", "class_id", "n_class")
-    alone = rows.where(F.col("text").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_class"))
+    slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    rows, labelled = _labelled(slim.where(F.col("text").isNotNull()))
+    classes = labelled.groupBy("label").agg(F.min("first")["key"].alias("class_id"), F.sum("n").alias("n_class"))
+    by_print = labelled.join(classes, "label").select("print", "class_id", "n_class")
+    known = rows.select("doc_id", "print").join(by_print, "print").select("doc_id", "class_id", "n_class")
+    alone = slim.where(F.col("text").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_class"))
     return known.unionByName(alone).withColumnRenamed("doc_id", key)
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs without rows that have an alike row of smaller key: one row of each class, all columns.
+    """docs with one row of each class, all columns: of the smallest key, null last.
 
-    Of repeated rows of that key one stays. Rows of null text stay. A class of null keys only keeps a
-    row.
+    Of repeated rows of that key and text one stays, whichever other columns it has. Rows of null text
+    all stay.
     """
-    classes = duplicate_classes(docs, text, key)
-    many = classes.where(F.col("n_class") > 1).select(F.col(key).alias("k"), "class_id").distinct()
-    name, first = free_name(docs, "k"), free_name(docs, "first")
-    cast = many.select(F.col("k").alias(name), (F.col("k").eqNullSafe(F.col("class_id"))).alias(first))
-    # A key with several texts may be first in one class and not in another; then its rows are told
-    # apart by their own class, through the text.
-    cast = cast.groupBy(name).agg(F.max(first).alias(first))
-    joined = docs.join(cast, F.col(key).eqNullSafe(F.col(name)), "left")
-    single = joined.where(F.col(first).isNull() | F.col(text).isNull())
-    firsts = joined.where(F.col(first) & F.col(text).isNotNull()).dropDuplicates([key, text])
-    return single.unionByName(firsts).select(*docs.columns)
+    slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    _, labelled = _labelled(slim.where(F.col("text").isNotNull()))
+    chosen = labelled.groupBy("label").agg(F.min(F.struct("first", "print", "n_first")).alias("c")).select(F.col("c.first.key").alias("chosen_key"), F.col("c.print").alias("chosen_print"), "c.n_first")
+    same = F.col(key).eqNullSafe(F.col("chosen_key")) & (F.unhex(F.md5(F.col(text))) == F.col("chosen_print"))
+    without = docs.where(F.col(text).isNull())
+    single = docs.join(chosen.where(F.col("n_first") == 1), same, "left_semi")
+    repeated = docs.join(chosen.where(F.col("n_first") > 1), same, "left_semi").dropDuplicates([key, text])
+    return single.unionByName(repeated).unionByName(without)
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

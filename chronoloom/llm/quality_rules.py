@@ -106,7 +106,7 @@ def judge_documents(docs: DataFrame, text: str = "text", host: str = "source", k
 
     Null texts count as empty and fail for want of words; null hosts are one host; null keys stay;
     repeated rows are judged and counted each; an empty table gives none; other columns are not read.
-    Long texts take time n log n. Texts are read once: what follows reads checkpointed counts.
+    Long texts take time n log n. Texts are read once: what follows reads written counts.
     """
     f = F.col("f")
     slim = docs.select(F.col(key).alias("key"), F.col(host).alias("host"), features(F.col(text)).alias("f"))
