@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, read
+from .common import WORD, cut, hinted, read
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -185,14 +185,16 @@ def connected(links: DataFrame) -> DataFrame:
 
     Each round takes the smallest label among a node and its neighbours, then that label's own, so
     labels travel twice as far each time. Labels are written each round; it ends when none changes.
+    Counted once, they are broadcast if they are few.
     """
     edges = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")))
+    nodes = labels.count()
     while True:
-        reach = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        moved = labels.join(reach, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        reach = edges.join(hinted(labels.withColumnRenamed("node", "b"), nodes), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        moved = reach.join(hinted(labels, nodes), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = cut(moved.join(jump, "label", "left").select("node", "old", F.coalesce(F.least("label", "further"), "label").alias("label")))
+        new = cut(moved.join(hinted(jump, nodes), "label", "left").select("node", "old", F.coalesce(F.least("label", "further"), "label").alias("label")))
         labels = new.select("node", "label")
         if new.where(F.col("old") != F.col("label")).isEmpty():
             return labels
@@ -222,7 +224,7 @@ def _links(members: DataFrame, shingles: DataFrame) -> DataFrame | None:
         links = judged.where("linked").select("a", "b")
         found = links if found is None else found.unionByName(links)
         labels = connected(found)
-        labelled = with_hub.join(labels.withColumnRenamed("node", "print"), "print", "left").withColumn("label", F.coalesce("label", "print"))
+        labelled = with_hub.join(hinted(labels.withColumnRenamed("node", "print"), labels.count()), "print", "left").withColumn("label", F.coalesce("label", "print"))
         mixed = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where(F.col("least") != F.col("most")).select("bucket")
         left = cut(labelled.join(mixed, "bucket"))
         few = left.where((F.col("size") <= SMALL) & (F.col("print") != F.col("hub")))
@@ -249,7 +251,7 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("key"))
     nodes = cut(by_key.groupBy("print").agg(F.min(F.struct(first.alias("first"), F.col("n").alias("n_first"))).alias("f"), F.sum("n").alias("n"), F.first("sketches").alias("sketches")).select("print", "f.first", "f.n_first", "n", "sketches"))
     buckets = nodes.select("print", F.posexplode("sketches").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "print", F.lit(0).cast("long").alias("path"))
-    members = _members(buckets.distinct())
+    members = _members(buckets)
     wanted = members.select("print").distinct().join(nodes.select("print", F.col("first.key").alias("key")), "print")
     texts = docs.withColumn("print", F.unhex(F.md5("text"))).join(wanted.withColumnRenamed("print", "p"), F.col("doc_id").eqNullSafe(F.col("key")) & (F.col("print") == F.col("p")), "left_semi")
     shingles = cut(_shingled(texts.select("print", "text").dropDuplicates(["print"])))
