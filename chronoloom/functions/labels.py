@@ -18,7 +18,7 @@ def filter_labels(labels: Column) -> Column:
     still counts as its name's first."""
 
     def kept(label: Column, i: Column) -> Column:
-        earlier = F.exists(F.slice(labels, F.lit(1), i), lambda x: x["name"] == label["name"])
+        earlier = F.exists(F.slice(labels, F.lit(1), i), lambda x: x["name"].eqNullSafe(label["name"]))
         return (label["name"] != "") & (label["value"] != "") & ~earlier
 
     return F.coalesce(F.filter(labels, lambda x, i: F.coalesce(kept(x, i), F.lit(False))), F.array().cast(LABELS))

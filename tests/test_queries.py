@@ -1,0 +1,34 @@
+"""Every registered query of the series engine against its SQL."""
+
+import duckdb
+import pytest
+
+from chronoloom.plans.queries import ORACLES, QUERIES
+
+
+@pytest.fixture(scope="module")
+def con(sf_dir):
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{sf_dir}/events.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_same_rows_as_sql(name, spark, sf_dir, con):
+    df = QUERIES[name](spark, sf_dir)
+    con.execute(ORACLES[name])
+    columns = [d[0] for d in con.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert sorted(map(tuple, df.select(columns).collect()), key=repr) == sorted(con.fetchall(), key=repr)
+
+
+def test_range_bounds_reach_the_reader(spark, sf_dir):
+    plan = QUERIES["range_eq"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts" in plan and "EqualTo(event_type,click)" in plan and "props" not in plan
+
+
+def test_entry(spark):
+    import __spark_entry__ as e
+
+    assert e.entry(spark).count() == 16
+    assert set(e.oracle_sql()) <= set(e.queries())
