@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of characters other than these six, as in every contract of this package.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows up to which a table that was counted first may be broadcast.
-BROADCAST_ROWS = 100_000
+#: Rows of a few short columns up to which a table, counted first, may be broadcast: some 20 MB.
+BROADCAST_ROWS = 200_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,6 +43,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def free_prefix(df: DataFrame) -> str:
+    """Underscores that no column of df begins with."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def hinted(df: DataFrame, rows: int) -> DataFrame:
     """df marked for broadcast if its counted rows are within the bound, else as it is: a shuffled
     join, whose hot keys adaptive execution splits."""

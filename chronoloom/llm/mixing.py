@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, free_name, hinted, read, running_sum
+from .common import WORD, cut, free_prefix, hinted, read, running_sum
 
 #: Weights of the sources in code point order, null last, repeating.
 WEIGHTS = (3, 1, 2)
@@ -129,21 +129,21 @@ def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", k
     A pass that takes less than half of a row's words leaves the row out, else takes all of it, so no
     text is cut. Rows without words are not taken.
     """
-    own, others = [free_name(docs, x) for x in ("size", "print", "rest")], [c for c in docs.columns if c not in (text, source, key)]
-    size, print_, rest = own
+    free, others = free_prefix(docs), [c for c in docs.columns if c not in (text, source, key)]
+    size, print_, rest, at, repeats = (free + x for x in ("size", "print", "rest", "at", "repeats"))
     marked = docs.withColumn(size, word_count(F.col(text))).withColumn(print_, F.md5(F.col(text))).withColumn(rest, F.md5(F.to_json(F.struct(*others))) if others else F.lit(""))
     keys = [key, print_, rest]
     plan = mix_plan(marked.select(*keys, source, size), keys, size, source, **options)
     whole = F.filter(F.arrays_zip("times", "positions"), lambda x: 2 * x["times"] > F.col(size))
-    copies = cut(plan.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate([*keys, source])), "repeats", F.explode(F.transform(whole, lambda x: x["positions"])).alias("at")))
+    known = {k: f"{free}k{i}" for i, k in enumerate([*keys, source])}
+    copies = cut(plan.select(*(F.col(k).alias(name) for k, name in known.items()), F.col("repeats").alias(repeats), F.explode(F.transform(whole, lambda x: x["positions"])).alias(at)))
     same = F.lit(True)
-    for i, k in enumerate([*keys, source]):
-        same &= F.col(k).eqNullSafe(F.col(f"k{i}"))
-    single = marked.join(copies.where(F.col("repeats") == 1), same)
-    repeated = copies.where(F.col("repeats") > 1)
-    names = [f"k{i}" for i in range(4)]
-    some = marked.join(repeated.select(*names).distinct(), same, "left_semi").dropDuplicates([*keys, source]).join(repeated, same)
-    return single.unionByName(some).orderBy("at", key).select(*docs.columns)
+    for k, name in known.items():
+        same &= F.col(k).eqNullSafe(F.col(name))
+    single = marked.join(copies.where(F.col(repeats) == 1), same)
+    repeated = copies.where(F.col(repeats) > 1)
+    some = marked.join(repeated.select(*known.values()).distinct(), same, "left_semi").dropDuplicates(list(known)).join(repeated, same)
+    return single.unionByName(some).orderBy(at, key).select(*docs.columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

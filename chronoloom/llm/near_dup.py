@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, hinted, read
+from .common import WORD, cut, free_prefix, hinted, read
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -207,39 +207,59 @@ def _members(buckets: DataFrame) -> DataFrame:
     return cut(buckets.join(sizes, "bucket"))
 
 
-def _links(members: DataFrame, shingles: DataFrame) -> DataFrame | None:
-    """a, b: verified links that connect what is alike in the buckets; None without buckets.
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """labels (node, label) after more links (a, b), of which only those between components count."""
+    if labels is None:
+        links = cut(links)
+        return None if links.isEmpty() else connected(links)
+    n = labels.count()
+    for end in ("a", "b"):
+        named = hinted(labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), n)
+        links = links.join(named, end, "left").withColumn(end, F.coalesce(f"label_{end}", end)).drop(f"label_{end}")
+    between = cut(links.where(F.col("a") != F.col("b")).select("a", "b").distinct())
+    if between.isEmpty():
+        return labels
+    joined = connected(between)
+    moved = labels.join(hinted(joined.select(F.col("node").alias("label"), F.col("label").alias("new")), joined.count()), "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+    fresh = joined.join(hinted(labels.select("node"), n), "node", "left_anti")
+    return cut(moved.unionByName(fresh.select("node", "label")))
+
+
+def _labels(members: DataFrame, shingles: DataFrame) -> DataFrame | None:
+    """node and label of the texts with a link, label the same for what is connected; None if there
+    is none.
 
     A bucket's path is the hubs that its members were compared with on the way to it. For each path
     and member, ``rest`` has the member's shingles that none of these hubs has, by which it is dealt
     on. A hub of a bucket has the shingle that made it, so the rest shrinks from round to round.
+    Tables of two or three short columns are broadcast if their counted rows are few.
     """
-    found = rest = None
-    while not members.isEmpty():
+    labels = rest = pending = None
+    while n := members.count():
         drawn = members.groupBy("print").agg(F.sum("size").alias("drawn"))
-        hubs = members.join(drawn, "print").groupBy("bucket").agg(F.max_by("print", F.struct("drawn", "print")).alias("hub"))
-        with_hub = cut(members.join(hubs, "bucket"))
+        hubs = members.join(hinted(drawn, n), "print").groupBy("bucket").agg(F.max_by("print", F.struct("drawn", "print")).alias("hub"))
+        with_hub = cut(members.join(hinted(hubs, n), "bucket"))
         to_hub = with_hub.where(F.col("print") != F.col("hub")).groupBy(F.col("print").alias("a"), F.col("hub").alias("b")).agg(F.max(F.col("size") > SMALL).alias("wide"))
         judged = cut(_verified(to_hub, shingles))
         links = judged.where("linked").select("a", "b")
-        found = links if found is None else found.unionByName(links)
-        labels = connected(found)
-        labelled = with_hub.join(hinted(labels.withColumnRenamed("node", "print"), labels.count()), "print", "left").withColumn("label", F.coalesce("label", "print"))
-        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where(F.col("least") != F.col("most")).select("bucket")
-        left = cut(labelled.join(mixed, "bucket"))
+        labels = _merged(labels, links if pending is None else links.unionByName(pending))
+        named = with_hub.withColumn("label", F.col("print"))
+        if labels is not None:
+            named = with_hub.join(hinted(labels.withColumnRenamed("node", "print"), labels.count()), "print", "left").withColumn("label", F.coalesce("label", "print"))
+        mixed = named.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where(F.col("least") != F.col("most")).select("bucket")
+        left = cut(named.join(hinted(mixed, n), "bucket"))
         few = left.where((F.col("size") <= SMALL) & (F.col("print") != F.col("hub")))
         pairs = few.select("bucket", F.col("print").alias("a"), F.col("label").alias("la")).join(few.select("bucket", F.col("print").alias("b"), F.col("label").alias("lb")), "bucket")
         pairs = pairs.where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b").distinct()
-        more = _verified(pairs.withColumn("wide", F.lit(False)), shingles).where("linked").select("a", "b")
-        found = cut(found.unionByName(more).distinct())
+        pending = cut(_verified(pairs.withColumn("wide", F.lit(False)), shingles).where("linked").select("a", "b"))
         many = left.where((F.col("size") > SMALL) & (F.col("print") != F.col("hub"))).select("path", F.col("print").alias("a"), F.col("hub").alias("b")).distinct()
-        many = many.join(judged.select("a", "b", "lacking"), ["a", "b"])
+        many = judged.select("a", "b", "lacking").join(hinted(many, n), ["a", "b"])
         if rest is not None:
             many = many.join(rest.withColumnRenamed("print", "a"), ["path", "a"]).withColumn("lacking", F.array_intersect("rest", "lacking"))
         rest = cut(many.select(F.xxhash64("path", "b").alias("path"), F.col("a").alias("print"), F.col("lacking").alias("rest")))
         dealt = rest.select("path", "print", F.explode("rest").alias("h"))
         members = _members(dealt.select(F.xxhash64("path", "h").alias("bucket"), "print", "path"))
-    return found
+    return labels if pending is None else _merged(labels, pending)
 
 
 def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -255,11 +275,12 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = members.select("print").distinct().join(nodes.select("print", F.col("first.key").alias("key")), "print")
     texts = docs.withColumn("print", F.unhex(F.md5("text"))).join(wanted.withColumnRenamed("print", "p"), F.col("doc_id").eqNullSafe(F.col("key")) & (F.col("print") == F.col("p")), "left_semi")
     shingles = cut(_shingled(texts.select("print", "text").dropDuplicates(["print"])))
-    links = _links(members, shingles)
-    if links is None:
-        return rows, nodes.withColumn("label", F.col("print")).drop("sketches")
-    labels = nodes.drop("sketches").join(connected(links).withColumnRenamed("node", "print"), "print", "left")
-    return rows, cut(labels.withColumn("label", F.coalesce("label", "print")))
+    labels = _labels(members, shingles)
+    nodes = nodes.drop("sketches")
+    if labels is None:
+        return rows, nodes.withColumn("label", F.col("print"))
+    labelled = nodes.join(hinted(labels.withColumnRenamed("node", "print"), labels.count()), "print", "left")
+    return rows, cut(labelled.withColumn("label", F.coalesce("label", "print")))
 
 
 def duplicate_classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -287,11 +308,12 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     """
     slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     _, labelled = _labelled(slim.where(F.col("text").isNotNull()))
-    chosen = labelled.groupBy("label").agg(F.min(F.struct("first", "print", "n_first")).alias("c")).select(F.col("c.first.key").alias("chosen_key"), F.col("c.print").alias("chosen_print"), "c.n_first")
-    same = F.col(key).eqNullSafe(F.col("chosen_key")) & (F.unhex(F.md5(F.col(text))) == F.col("chosen_print"))
+    free = free_prefix(docs)
+    chosen = labelled.groupBy("label").agg(F.min(F.struct("first", "print", "n_first")).alias("c")).select(F.col("c.first.key").alias(f"{free}key"), F.col("c.print").alias(f"{free}print"), "c.n_first")
+    same = F.col(key).eqNullSafe(F.col(f"{free}key")) & (F.unhex(F.md5(F.col(text))) == F.col(f"{free}print"))
     without = docs.where(F.col(text).isNull())
-    single = docs.join(chosen.where(F.col("n_first") == 1), same, "left_semi")
-    repeated = docs.join(chosen.where(F.col("n_first") > 1), same, "left_semi").dropDuplicates([key, text])
+    single = docs.join(chosen.where(F.col("n_first") == 1).drop("n_first"), same, "left_semi")
+    repeated = docs.join(chosen.where(F.col("n_first") > 1).drop("n_first"), same, "left_semi").dropDuplicates([key, text])
     return single.unionByName(repeated).unionByName(without)
 
 
