@@ -21,7 +21,6 @@ Decoding joins the arc labels with blanks, as the library does for a vocabulary
 
 from __future__ import annotations
 
-import itertools
 import json
 import re
 import unicodedata
@@ -111,9 +110,10 @@ class Runner:
         width, steps, at, path = self.automaton.width, self.steps, 0, []
         for s in symbols:
             key = at * width + s
-            at = steps.get(key, -1)
-            if at < 0:
-                at = steps[key] = self.step(key // width, s)
+            try:
+                at = steps[key]
+            except KeyError:
+                at = steps[key] = self.step(at, s)
             path.append(at)
         out, i, arcs = [], len(path), self.arcs
         while i:
@@ -250,35 +250,46 @@ class Splitter:
 
 
 class Encoder(dict):
-    """Words to (ids, decoded text), of which a bounded number of short ones are kept."""
+    """Words to (ids as 32-bit integers' bytes, decoded text), of which a bounded number of short ones
+    are kept: those met since the last change of generations, and, in ``older``, those of the one
+    before. Bytes and strings, unlike lists, cost the garbage collector nothing."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.v = vocabulary
+        self.older: dict[str, tuple[bytes, str]] = {}
         self.runner = Runner(vocabulary.automaton)
         self.words = Splitter(vocabulary.pattern)
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
 
-    def __missing__(self, word: str) -> tuple[list[int], str]:
-        data = word.encode()
-        ids = self.runner.run([*(self.v.inner[b] for b in data[:-1]), self.v.last[data[-1]]])
-        out = ids, " ".join(map(self.v.labels.__getitem__, ids))
+    def __missing__(self, word: str) -> tuple[bytes, str]:
+        out = self.older.get(word) or self.coded(word)
         if len(word) <= CACHED_LENGTH:
-            if len(self) >= CACHED_WORDS:
+            if len(self) >= CACHED_WORDS // 2:
+                self.older = dict(self)
                 self.clear()
             self[word] = out
         return out
 
-    def pieces(self, text: str) -> Iterator[tuple[list[int], str]]:
-        parts = self.special.split(text) if self.special else [text]
-        for i, part in enumerate(parts):
+    def coded(self, word: str) -> tuple[bytes, str]:
+        data = word.encode()
+        symbols = list(map(self.v.inner.__getitem__, data))
+        symbols[-1] = self.v.last[data[-1]]
+        ids = self.runner.run(symbols)
+        return array("i", ids).tobytes(), " ".join(map(self.v.labels.__getitem__, ids))
+
+    def text(self, text: str) -> tuple[bytes, str]:
+        """A whole text's ids and decoded text."""
+        found: list[tuple[bytes, str]] = []
+        for i, part in enumerate(self.special.split(text) if self.special else [text]):
             if i % 2:
-                yield [self.v.special[part]], part
+                found.append((array("i", [self.v.special[part]]).tobytes(), part))
             elif part:
-                yield from map(self.__getitem__, self.words(part))
+                found += map(self.__getitem__, self.words(part))
+        return b"".join([ids for ids, _ in found]), " ".join([label for _, label in found])
 
     def encode(self, text: str) -> list[int]:
-        return list(itertools.chain.from_iterable(ids for ids, _ in self.pieces(text)))
+        return array("i", self.text(text)[0]).tolist()
 
 
 def decode(ids: Sequence[int], vocabulary: Vocabulary) -> str:
@@ -303,16 +314,15 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str =
             keys, texts = batch.column("key"), batch.column("text")
             at, ids, ends, decoded, size = 0, array("i"), [0], [], 0
             for row, value in enumerate(texts):
-                labels: list[str] = []
-                for codes, label in encoder.pieces(value.as_py() or ""):
-                    ids.extend(codes)
-                    labels.append(label)
-                decoded.append(" ".join(labels))
+                codes, labels = encoder.text(value.as_py() or "")
+                ids.frombytes(codes)
+                decoded.append(labels)
                 ends.append(len(ids))
                 size += len(decoded[-1])
                 if size > FLUSH or row == len(texts) - 1:
-                    codes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(memoryview(ids) if ids else [], pa.int32()))
-                    yield pa.RecordBatch.from_arrays([keys.slice(at, row + 1 - at), codes, pa.array(decoded, pa.string())], names=["key", "ids", "decoded"])
+                    values = pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids.tobytes())])
+                    listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+                    yield pa.RecordBatch.from_arrays([keys.slice(at, row + 1 - at), listed, pa.array(decoded, pa.string())], names=["key", "ids", "decoded"])
                     at, ids, ends, decoded, size = row + 1, array("i"), [0], [], 0
 
     kind = rows.schema["key"].dataType.simpleString()

@@ -88,5 +88,6 @@ def test_file_roundtrip(spark, tmp_path):
 @pytest.mark.parametrize("cut", [1, 30, 200])
 def test_files_cut_off(cut):
     data = b"".join(map(warc.format_record, RECORDS))
-    assert len(list(warc.parse_warc(data[:-cut]))) == 2 or cut == 200
+    # The last byte is of the last member's check sum, after its record.
+    assert len(list(warc.parse_warc(data[:-cut]))) == {1: 3, 30: 2, 200: 1}[cut]
     assert list(warc.parse_warc(b"junk")) == []
