@@ -165,19 +165,20 @@ def _shingled(texts: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
-    """a, b, linked, and, where ``wide``, the shingles of a that b lacks, of pairs (a, b, wide)."""
+    """a, b, linked, n (a's shingles), and, where ``wide``, those that b lacks, of pairs (a, b, wide)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, lacking = [], []
+            linked, lacking, n = [], [], []
             for x, y, wide in zip(batch.column("sa"), batch.column("sb"), batch.column("wide").to_pylist(), strict=True):
                 x, y = (v.values.to_numpy(zero_copy_only=False) for v in (x, y))
                 linked.append(aligned(x, y))
+                n.append(len(x))
                 lacking.append(np.setdiff1d(x, y, assume_unique=True) if wide else None)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(lacking, pa.list_(pa.int64()))], names=["a", "b", "linked", "lacking"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(lacking, pa.list_(pa.int64())), pa.array(n, pa.int64())], names=["a", "b", "linked", "lacking", "n"])
 
     joined = pairs.join(shingles.select(F.col("print").alias("a"), F.col("s").alias("sa")), "a").join(shingles.select(F.col("print").alias("b"), F.col("s").alias("sb")), "b")
-    return joined.select("a", "b", "wide", "sa", "sb").mapInArrow(run, "a binary, b binary, linked boolean, lacking array<bigint>")
+    return joined.select("a", "b", "wide", "sa", "sb").mapInArrow(run, "a binary, b binary, linked boolean, lacking array<bigint>, n bigint")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -232,6 +233,8 @@ def _labels(members: DataFrame, shingles: DataFrame) -> DataFrame | None:
     A bucket's path is the hubs that its members were compared with on the way to it. For each path
     and member, ``rest`` has the member's shingles that none of these hubs has, by which it is dealt
     on. A hub of a bucket has the shingle that made it, so the rest shrinks from round to round.
+    Of a text's n shingles, an alike text shares s n at least, and at most n less its rest are the
+    hubs'; so of the rest, in any one order for all, the first (1 - s) n + 1 must meet.
     Tables of two or three short columns are broadcast if their counted rows are few.
     """
     labels = rest = pending = None
@@ -253,11 +256,12 @@ def _labels(members: DataFrame, shingles: DataFrame) -> DataFrame | None:
         pairs = pairs.where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b").distinct()
         pending = cut(_verified(pairs.withColumn("wide", F.lit(False)), shingles).where("linked").select("a", "b"))
         many = left.where((F.col("size") > SMALL) & (F.col("print") != F.col("hub"))).select("path", F.col("print").alias("a"), F.col("hub").alias("b")).distinct()
-        many = judged.select("a", "b", "lacking").join(hinted(many, n), ["a", "b"])
+        many = judged.select("a", "b", "lacking", "n").join(hinted(many, n), ["a", "b"])
         if rest is not None:
-            many = many.join(rest.withColumnRenamed("print", "a"), ["path", "a"]).withColumn("lacking", F.array_intersect("rest", "lacking"))
-        rest = cut(many.select(F.xxhash64("path", "b").alias("path"), F.col("a").alias("print"), F.col("lacking").alias("rest")))
-        dealt = rest.select("path", "print", F.explode("rest").alias("h"))
+            many = many.join(rest.select("path", F.col("print").alias("a"), "rest"), ["path", "a"]).withColumn("lacking", F.array_intersect("rest", "lacking"))
+        rest = cut(many.select(F.xxhash64("path", "b").alias("path"), F.col("a").alias("print"), F.array_sort("lacking").alias("rest"), "n"))
+        first = F.slice("rest", F.lit(1), F.floor(F.col("n") * (1 - SIMILARITY) + 1e-6).cast("int") + 1)
+        dealt = rest.select("path", "print", F.explode(first).alias("h"))
         members = _members(dealt.select(F.xxhash64("path", "h").alias("bucket"), "print", "path"))
     return labels if pending is None else _merged(labels, pending)
 
