@@ -40,6 +40,8 @@ SIMILARITY = 0.8
 BANDS, MINIMA = 20, 3
 #: Members up to which what a hub leaves of a bucket is compared pair by pair.
 SMALL = 24
+#: Members of large buckets that a task deals, so that tasks have like work however many there are.
+DEALT_ROWS = 500
 #: Distinct words whose hashes a task keeps at once, and the hashes that are permuted at once.
 CACHED_WORDS, AT_ONCE = 300_000, 1_000_000
 
@@ -261,8 +263,9 @@ def _labels(members: DataFrame, shingles: DataFrame) -> DataFrame | None:
             many = many.join(rest.select("path", F.col("print").alias("a"), "rest"), ["path", "a"]).withColumn("lacking", F.array_intersect("rest", "lacking"))
         rest = cut(many.select(F.xxhash64("path", "b").alias("path"), F.col("a").alias("print"), F.array_sort("lacking").alias("rest"), "n"))
         first = F.slice("rest", F.lit(1), F.floor(F.col("n") * (1 - SIMILARITY) + 1e-6).cast("int") + 1)
-        dealt = rest.select("path", "print", F.explode(first).alias("h"))
-        members = _members(dealt.select(F.xxhash64("path", "h").alias("bucket"), "print", "path"))
+        parts = min(-(-rest.count() // DEALT_ROWS) or 1, int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        dealt = rest.select("path", "print", first.alias("first")).repartition(parts).select("path", "print", F.explode("first").alias("h"))
+        members = _members(cut(dealt.select(F.xxhash64("path", "h").alias("bucket"), "print", "path")))
     return labels if pending is None else _merged(labels, pending)
 
 
