@@ -46,14 +46,16 @@ def main() -> None:
 
     # A grid of series at the pace and with the labels of the published workload: rows written a second
     # and bytes a point for each codec, and a range of one series against a scan of all.
-    series, steps = 16 * 5 * 64, 121
+    series, steps = 16 * 5 * 128, 121
     ids = spark.range(series * steps)
     s, step = F.col("id") % series, F.floor(F.col("id") / series)
-    names = [("node", F.concat(F.lit("vm"), s % 5)), ("dc", (F.floor(s / 5) % 64).cast("string")), ("foo", F.md5((s % 16).cast("string"))), ("bar", F.md5((s % 16 + 16).cast("string"))), ("zoo", F.md5((s % 16 + 32).cast("string")))]
+    names = [("node", F.concat(F.lit("vm"), s % 5)), ("dc", (F.floor(s / 5) % 128).cast("string")), ("foo", F.md5((s % 16).cast("string"))), ("bar", F.md5((s % 16 + 16).cast("string"))), ("zoo", F.md5((s % 16 + 32).cast("string")))]
     labels = F.array(*(F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in names))
-    grid = ids.select(F.concat(F.lit("metric."), F.floor(s / 320)).alias("metric"), labels.alias("labels"), (F.lit(1_600_000_000) + step * 60).alias("ts"), F.pmod(F.xxhash64("id"), F.lit(60)).cast("double").alias("value"), F.col("id").alias("seq"))
+    grid = ids.select(F.concat(F.lit("metric."), F.floor(s / 640)).alias("metric"), labels.alias("labels"), (F.lit(1_600_000_000) + step * 60).alias("ts"), F.pmod(F.xxhash64("id"), F.lit(60)).cast("double").alias("value"), F.col("id").alias("seq"))
     extra = {"points": series * steps}
     root = tempfile.mkdtemp(prefix="bench-store-")
+    grid.repartition(4 * int(CPUS)).write.parquet(f"{root}/rows")
+    grid = spark.read.parquet(f"{root}/rows")
     for codec in CODECS:
         store = Store(spark, f"{root}/{codec}", Options(codec=codec, segment_seconds=86_400))
         began = time.perf_counter()

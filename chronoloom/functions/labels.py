@@ -21,7 +21,14 @@ def filter_labels(labels: Column) -> Column:
         earlier = F.exists(F.slice(labels, F.lit(1), i), lambda x: x["name"].eqNullSafe(label["name"]))
         return (label["name"] != "") & (label["value"] != "") & ~earlier
 
-    return F.coalesce(F.filter(labels, lambda x, i: F.coalesce(kept(x, i), F.lit(False))), F.array().cast(LABELS))
+    def whole(label: Column) -> Column:
+        return F.coalesce((label["name"] != "") & (label["value"] != ""), F.lit(False))
+
+    # Names mostly differ, which is quickly seen; then no label needs a look at those before it.
+    names = F.transform(labels, lambda x: x["name"])
+    alike = F.size(F.array_distinct(names)) == F.size(labels)
+    checked = F.when(alike, F.filter(labels, whole)).otherwise(F.filter(labels, lambda x, i: F.coalesce(kept(x, i), F.lit(False))))
+    return F.coalesce(checked, F.array().cast(LABELS))
 
 
 def label_map(labels: Column) -> Column:
@@ -30,27 +37,32 @@ def label_map(labels: Column) -> Column:
 
 
 def with_metric(labels: Column, metric: Column) -> Column:
-    """The map of filtered labels and the metric; a label of the metric's name gives way to it."""
+    """Filtered labels and the metric, by name; a label of the metric's name gives way to it."""
     others = F.filter(filter_labels(labels), lambda x: x["name"] != METRIC)
-    return F.map_from_entries(F.concat(others, F.array(F.struct(F.lit(METRIC).alias("name"), metric.alias("value")))))
+    return F.sort_array(F.concat(others, F.array(F.struct(F.lit(METRIC).alias("name"), metric.alias("value")))))
 
 
 def sorted_labels(labels: Column) -> Column:
     """A map's entries in the byte order of their names."""
-    return F.array_sort(F.map_entries(labels))
+    return F.transform(F.sort_array(F.map_entries(labels)), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")))
 
 
 def quoted(value: Column) -> Column:
-    escaped = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    for raw, shown in (("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
+    escaped = value
+    for raw, shown in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
         escaped = F.replace(escaped, F.lit(raw), F.lit(shown))
     return F.concat(F.lit('"'), escaped, F.lit('"'))
 
 
+def rendered(entries: Column) -> Column:
+    """{name="value", …} of labels in their order; {} for none or null."""
+    parts = F.transform(entries, lambda e: F.concat(e["name"], F.lit("="), quoted(e["value"])))
+    return F.concat(F.lit("{"), F.array_join(F.coalesce(parts, F.array().cast("array<string>")), ", "), F.lit("}"))
+
+
 def labels_string(labels: Column) -> Column:
-    """{name="value", …} by name; {} for an empty or null map."""
-    entries = F.transform(sorted_labels(labels), lambda e: F.concat(e["key"], F.lit("="), quoted(e["value"])))
-    return F.concat(F.lit("{"), F.array_join(F.coalesce(entries, F.array().cast("array<string>")), ", "), F.lit("}"))
+    """The text form of a label map, by name."""
+    return rendered(sorted_labels(labels))
 
 
 def has_label(labels: Column, name: str) -> Column:

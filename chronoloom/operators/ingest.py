@@ -9,32 +9,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.labels import labels_string, with_metric
+from ..functions.labels import rendered, sorted_labels, with_metric
 from ..functions.time import MAX_TS, MIN_TS, SEGMENT_SECONDS, segment_of
 
 
 def valid(rows: DataFrame) -> DataFrame:
-    return rows.where(F.col("ts").between(MIN_TS, MAX_TS))
+    return rows.where(F.col("ts").between(MIN_TS, MAX_TS) & F.col("metric").isNotNull())
 
 
 def quarantined(rows: DataFrame) -> DataFrame:
-    """Rows that normalise() leaves out: of no time, or one outside the range of timestamps."""
-    return rows.where(~F.coalesce(F.col("ts").between(MIN_TS, MAX_TS), F.lit(False)))
+    """Rows that normalise() leaves out: of no metric, of no time, or of one outside the range."""
+    return rows.where(~F.coalesce(F.col("ts").between(MIN_TS, MAX_TS), F.lit(False)) | F.col("metric").isNull())
 
 
 def normalise(rows: DataFrame, segment_seconds: int = SEGMENT_SECONDS) -> DataFrame:
     """Points of all rows whose time is in range. No shuffle."""
-    labels = with_metric(F.col("labels"), F.coalesce(F.col("metric"), F.lit("")))
-    points = valid(rows).select(segment_of(F.col("ts"), segment_seconds).alias("seg"), F.coalesce("metric", F.lit("")).alias("metric"), labels.alias("labels"), "ts", "value", "seq")
-    return points.select("seg", "metric", labels_string(F.col("labels")).alias("labels_key"), "labels", "ts", "value", "seq")
+    entries = with_metric(F.col("labels"), F.col("metric"))
+    points = valid(rows).select(segment_of(F.col("ts"), segment_seconds).alias("seg"), "metric", entries.alias("entries"), "ts", "value", "seq")
+    return points.select("seg", "metric", rendered(F.col("entries")).alias("labels_key"), F.map_from_entries("entries").alias("labels"), "ts", "value", "seq")
 
 
 def series_catalog(points: DataFrame) -> DataFrame:
     """seg, metric, labels_key and labels: one row for each series of a segment.
 
-    The map isn't part of the key: it follows from labels_key.
+    Maps can't be grouped by, but their sorted entries can, by hash and in part before the shuffle.
     """
-    return points.groupBy("seg", "labels_key").agg(F.first("metric").alias("metric"), F.first("labels").alias("labels")).select("seg", "metric", "labels_key", "labels")
+    keyed = points.select("seg", "metric", "labels_key", sorted_labels(F.col("labels")).alias("entries"))
+    return keyed.distinct().select("seg", "metric", "labels_key", F.map_from_entries("entries").alias("labels"))
+
+
+def series_of_rows(rows: DataFrame, segment_seconds: int = SEGMENT_SECONDS) -> DataFrame:
+    """As series_catalog(normalise(rows)), but rows of the same labels as written are made one first,
+    so that few are normalised."""
+    written = valid(rows).select("metric", "labels", segment_of(F.col("ts"), segment_seconds).alias("seg")).distinct()
+    entries = written.select("seg", "metric", with_metric(F.col("labels"), F.col("metric")).alias("entries")).distinct()
+    return entries.select("seg", "metric", rendered(F.col("entries")).alias("labels_key"), F.map_from_entries("entries").alias("labels"))
 
 
 def late_split(points: DataFrame) -> DataFrame:

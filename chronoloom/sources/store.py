@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import METRIC
 from ..operators import search
-from ..operators.ingest import archive_merge, drop_late, late_split, normalise, series_catalog
+from ..operators.ingest import archive_merge, drop_late, late_split, normalise, series_catalog, series_of_rows
 from ..operators.segments import choose_segments, manifest, retained
 from ..plans.matchers import Matcher, predicate
 from .options import Options
@@ -44,11 +44,14 @@ class Store:
             return
         flat = points.select("seg", "metric", "labels_key", "ts", "value", "seq")
         self._write(flat, "points", ["seg", "metric", "labels_key", "ts"], mode)
-        self._write(series_catalog(points), "series", ["seg", "metric", "labels_key"], mode)
+        series = series_of_rows(rows, self.options.segment_seconds) if self.options.enable_outdated else series_catalog(points)
+        self._write(series, "series", ["seg", "metric", "labels_key"], mode)
 
     def _write(self, table: DataFrame, name: str, order: Sequence[str], mode: str) -> None:
-        # Ranges of the whole order, not of seg: a segment of very many points makes many files.
-        dealt = table.repartitionByRange(*order).sortWithinPartitions(*order)
+        # By hash, not in ranges: finding ranges would read all rows twice. A segment's series are dealt
+        # to so many tasks, so files are few; a series of a segment has no more points than it has
+        # seconds, repeats apart.
+        dealt = table.repartition("seg", F.pmod(F.xxhash64("labels_key"), F.lit(self.options.files_per_segment))).sortWithinPartitions(*order)
         writer = dealt.write.mode(mode).option("compression", self.options.codec).option("maxRecordsPerFile", self.options.max_rows_per_file)
         writer.partitionBy("seg").parquet(f"{self.path}/{name}")
 
@@ -79,7 +82,7 @@ class Store:
                 out = out.unionByName(held.select(*out.columns))
         else:
             out = self._read("series", SERIES)
-        return out.groupBy("seg", "metric", "labels_key").agg(F.first("labels").alias("labels"))
+        return series_catalog(out)
 
     def segments(self) -> DataFrame:
         return manifest(self.points())

@@ -48,4 +48,5 @@ def test_hash_is_of_the_set(spark):
 
 
 def test_metric_takes_the_place_of_a_label_of_its_name(spark):
-    assert evaluate(spark, [("__name__", "x"), ("a", "1")], lambda c: with_metric(c, F.lit("cpu"))) == {"__name__": "cpu", "a": "1"}
+    got = evaluate(spark, [("b", "2"), ("__name__", "x"), ("a", "1")], lambda c: with_metric(c, F.lit("cpu")))
+    assert [tuple(x) for x in got] == [("__name__", "cpu"), ("a", "1"), ("b", "2")]

@@ -23,6 +23,7 @@ def test_same_rows_as_sql(name, spark, sf_dir, con):
 
 
 def test_range_bounds_reach_the_reader(spark, sf_dir):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
     plan = QUERIES["range_eq"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts" in plan and "EqualTo(event_type,click)" in plan and "props" not in plan
 
