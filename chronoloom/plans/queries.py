@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from ..functions.labels import METRIC, filter_labels, has_label, label_map, labels_string
 from ..functions.time import RETENTION_SECONDS, SEGMENT_SECONDS
 from ..operators import codec, ingest, postings, search, segments
-from ..sources.events import event_rows
+from ..sources.events import event_rows, event_stream
 from ..sources.options import Options
 from ..sources.store import Store
+from ..streaming.ingest import start_ingest
 from .matchers import Matcher, effective, predicate
 
 #: The time range of all of January 2024 and one of two days, whose edges aren't segments' edges.
@@ -396,3 +397,20 @@ def store_range(spark, sf_dir):
     store = Store(spark, scratch(spark), Options(codec="zstd", segment_seconds=86_400))
     store.append(event_rows(spark, sf_dir))
     return store.query_range("click", [Matcher("user_id", "3")], *MONTH)
+
+
+@query(f"WITH {_EV} SELECT ts // 86400 * 86400 AS seg, metric, labels_key, ts, value, seq FROM ev")
+def stream_ingest(spark, sf_dir):
+    path = scratch(spark)
+    store = Store(spark, path, Options(codec="zstd", segment_seconds=86_400))
+    start_ingest(event_stream(spark, sf_dir), store, f"{path}-progress").awaitTermination()
+    return store.points()
+
+
+@query(f"WITH {_LATE} SELECT seg, labels_key, ts, value, seq FROM (SELECT *, row_number() OVER (PARTITION BY seg, labels_key, ts ORDER BY late, seq DESC) AS n FROM late_split) WHERE n = 1")
+def store_compact(spark, sf_dir):
+    rows = event_rows(spark, sf_dir).withColumn("ts", (F.floor(F.col("ts") / 3600) * 3600).cast("long")).withColumn("seq", F.col("seq") * 7919 % 1000003)
+    path = scratch(spark)
+    store = Store(spark, path, Options(codec="zstd", segment_seconds=86_400))
+    store.append(rows)
+    return store.compact(f"{path}-sealed").points().select("seg", "labels_key", "ts", "value", "seq")

@@ -19,6 +19,16 @@ def event_rows(spark: SparkSession, sf_dir: str, start: int | None = None, end:
         events = events.where(F.col("ts") >= clock(start))
     if end is not None:
         events = events.where(F.col("ts") < clock(end + 1))
+    return as_rows(events, sparse)
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of events as a stream of the files of the table."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return as_rows(spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet"))
+
+
+def as_rows(events: DataFrame, sparse: bool = False) -> DataFrame:
     labels = [F.struct(F.lit("user_id").alias("name"), F.col("user_id").cast("string").alias("value"))]
     if sparse:
         k = F.get_json_object("props", "$.k").cast("int")
