@@ -43,7 +43,7 @@ SMALL = 24
 #: Members of large buckets that a task deals, so that tasks have like work however many there are.
 DEALT_ROWS = 500
 #: Distinct words whose hashes a task keeps at once, and the hashes that are permuted at once.
-CACHED_WORDS, AT_ONCE = 300_000, 1_000_000
+CACHED_WORDS, AT_ONCE = 150_000, 200_000
 
 _WORDS = re.compile(WORD)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
