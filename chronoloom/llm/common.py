@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of characters other than these six, as in every contract of this package.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of a few short columns up to which a table, counted first, may be broadcast: some 20 MB.
-BROADCAST_ROWS = 200_000
+#: Rows of a few short columns up to which a table, counted first, may be broadcast: some 5 MB.
+BROADCAST_ROWS = 50_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
