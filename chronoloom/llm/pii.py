@@ -88,8 +88,9 @@ _SPELLED = re.compile(rf"(?i)(?<![A-Za-z])(plus[\x20,-]+)?((?:{_NUMBER})(?:[\x20
 _AT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+|\s*@\s*)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)"
 _PLAIN = r"[A-Za-z0-9_%+-]+"
-#: An address of which a dot is disguised, or the at and no dot.
-_ADDRESS = re.compile(rf"(?i){_PLAIN}(?:(?:\.|{_DOT}){_PLAIN}){{0,4}}(?P<at>{_AT})[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+){{1,5}}")
+#: An address of which a dot is disguised, or the at and no dot. It begins where its word does, which
+#: keeps long words linear.
+_ADDRESS = re.compile(rf"(?i)(?<![A-Za-z0-9_%+-]){_PLAIN}(?:(?:\.|{_DOT}){_PLAIN}){{0,4}}(?P<at>{_AT})[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+){{1,5}}")
 _DOTS, _ATS = re.compile(f"(?i){_DOT}"), re.compile(f"(?i){_AT}")
 _AT_TRIGGER = re.compile(r"(?i)[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]|\sdot\s")
 _BRACKET_AT = re.compile(r"[\[({<]")

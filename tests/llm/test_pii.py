@@ -81,6 +81,7 @@ def test_long_texts_are_linear():
     text = "1" * 200_000 + " " + "a" * 200_000 + "@" + " b@c.de " + "one " * 30_000
     base, _ = pii.personal_spans(text)
     assert [k for k, _, _ in base] == [0]
+    assert len(pii.personal_spans("a" * 300_000 + " [at] me (dot) com")[1]) == 1
 
 
 def test_empty_and_repeated(spark):
