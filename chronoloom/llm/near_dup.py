@@ -12,10 +12,10 @@ similarity M / (n_a + n_b - M); 0.8 or more is a link. Classes are the links' co
 No bucket is expanded into all pairs. Equal texts are one node from the start. In each bucket, every
 member is compared with a hub, the member whose buckets are largest: in a group of copies, mostly the
 text they were made from. Buckets whose members are then one class are done. What is left of small
-buckets is compared pair by pair. In a large one, two texts of which the hub's links don't tell are
-alike only if they share shingles that the hub lacks (if they shared none, and the hub were no longer
-than they are, they would be as like the hub as each other); so its members are dealt to new buckets by
-those shingles, and the same is done with these, until none is left.
+buckets is compared pair by pair. The members of a large one are dealt to new buckets by the shingles
+that its hub lacks, and the same is done with these, until none is left. Two alike texts don't meet
+there if hubs have all that they share. Then hubs have most of each, so such texts are kept by the hubs
+they came past, and those whose classes still differ in the end are compared in full, in blocks.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, free_prefix, hinted, read
+from .common import WORD, cut, free_prefix, hinted, read, running_sum
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -42,6 +43,8 @@ BANDS, MINIMA = 20, 3
 SMALL = 24
 #: Members of large buckets that a task deals, so that tasks have like work however many there are.
 DEALT_ROWS = 500
+#: Texts of a block, of which a task compares two in full, and shingles that it counts at once.
+BLOCK, COUNTED = 256, 4096
 #: Distinct words whose hashes a task keeps at once, and the hashes that are permuted at once.
 CACHED_WORDS, AT_ONCE = 150_000, 200_000
 
@@ -228,6 +231,79 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return cut(moved.unionByName(fresh.select("node", "label")))
 
 
+def linked_pairs(s: list[np.ndarray], labels: list, left: list[int], right: list[int]) -> list[tuple[int, int]]:
+    """Links between texts of left and of right, places in s, whose labels differ, as many as connect
+    the labels that all such links do.
+
+    Common shingles are counted for all pairs at once, by products of tables of zeros and ones; only
+    pairs that have enough of them are aligned.
+    """
+    n = np.array([len(x) for x in s])
+    names, label = np.unique(np.array([bytes(x) for x in labels], object), return_inverse=True)
+    _, column, count = np.unique(np.concatenate(s), return_inverse=True, return_counts=True)
+    shared, owner = count[column] > 1, np.repeat(np.arange(len(s)), n)
+    column, owner = (np.cumsum(count > 1) - 1)[column[shared]], owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    common = np.zeros((len(left), len(right)), np.float32)  # exact up to 2^24
+    for at in range(0, int((count > 1).sum()), COUNTED):
+        a, b = np.searchsorted(column, [at, at + COUNTED])
+        has = np.zeros((len(s), COUNTED), np.float32)
+        has[owner[a:b], column[a:b] - at] = 1
+        common += has[left] @ has[right].T
+    need = SIMILARITY * (n[left][:, None] + n[right][None, :]) / (1 + SIMILARITY) - 1e-9
+    parent = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i, j in np.argwhere((common >= need) & (label[left][:, None] != label[right][None, :])).tolist():
+        x, y = left[i], right[j]
+        p, q = find(label[x]), find(label[y])
+        if p != q and aligned(s[x], s[y]):
+            parent[p] = q
+            out.append((x, y))
+    return out
+
+
+def _covered_links(covered: DataFrame, labels: DataFrame | None, shingles: DataFrame) -> DataFrame | None:
+    """Links (a, b) between texts of one path, of (path, print), whose labels differ; None if there are
+    no such texts.
+
+    A path's texts are numbered in the order of their labels and cut into blocks. Each two blocks are
+    a task's work, of bounded size, but for blocks that are of one and the same label: so a large
+    class costs no comparisons within it.
+    """
+    named = covered.withColumn("label", F.col("print"))
+    if labels is not None:
+        named = covered.join(hinted(labels.withColumnRenamed("node", "print"), labels.count()), "print", "left").withColumn("label", F.coalesce("label", "print"))
+    named = cut(named.select("path", "print", "label"))
+    mixed = cut(named.groupBy("path").agg(F.min("label").alias("least"), F.max("label").alias("most")).where(F.col("least") != F.col("most")).select("path"))
+    if (n := mixed.count()) == 0:
+        return None
+    left = named.join(hinted(mixed, n), "path").withColumn("one", F.lit(1))
+    numbered = running_sum(left, ["path"], [F.col("label"), F.col("print")], "one", "at")
+    placed = cut(numbered.select("path", "print", "label", F.floor(F.col("at") / BLOCK).cast("int").alias("block")))
+    blocks = cut(placed.groupBy("path", "block").agg(F.min("label").alias("least"), F.max("label").alias("most")))
+    i, j = (blocks.select("path", *(F.col(c).alias(f"{c}_{x}") for c in ("block", "least", "most"))) for x in "ij")
+    tasks = i.join(j, "path").where((F.col("block_i") <= F.col("block_j")) & ((F.col("least_i") != F.col("most_j")) | (F.col("most_i") != F.col("least_j"))))
+    tasks = tasks.select("path", "block_i", "block_j", F.explode(F.array_distinct(F.array("block_i", "block_j"))).alias("block"))
+    held = cut(placed.join(tasks, ["path", "block"]))
+
+    def compare(table: pa.Table) -> pa.Table:
+        s = [x.values.to_numpy(zero_copy_only=False) for x in table.column("s")]
+        prints, block = table.column("print").to_pylist(), table.column("block").to_numpy()
+        left, right = (np.flatnonzero(block == table.column(c)[0].as_py()).tolist() for c in ("block_i", "block_j"))
+        links = linked_pairs(s, table.column("label").to_pylist(), left, right)
+        return pa.table([pa.array([prints[pair[k]] for pair in links], pa.binary()) for k in range(2)], names=["a", "b"])
+
+    full = shingles.join(hinted(held, held.count()), "print").select("path", "block_i", "block_j", "block", "print", "label", "s")
+    return full.groupBy("path", "block_i", "block_j").applyInArrow(compare, "a binary, b binary")
+
+
 def _labels(members: DataFrame, shingles: DataFrame) -> DataFrame | None:
     """node and label of the texts with a link, label the same for what is connected; None if there
     is none.
@@ -236,10 +312,13 @@ def _labels(members: DataFrame, shingles: DataFrame) -> DataFrame | None:
     and member, ``rest`` has the member's shingles that none of these hubs has, by which it is dealt
     on. A hub of a bucket has the shingle that made it, so the rest shrinks from round to round.
     Of a text's n shingles, an alike text shares s n at least, and at most n less its rest are the
-    hubs'; so of the rest, in any one order for all, the first (1 - s) n + 1 must meet.
+    hubs'; so of the rest, in any one order for all, the first (1 - s) n + 1 must meet. They meet
+    unless the hubs have all that they share, which leaves each a rest of at most (1 - s) n: texts of
+    such a rest are ``covered``, and compared by path once all else is done.
     Tables of two or three short columns are broadcast if their counted rows are few.
     """
     labels = rest = pending = None
+    covered = []
     while n := members.count():
         drawn = members.groupBy("print").agg(F.sum("size").alias("drawn"))
         hubs = members.join(hinted(drawn, n), "print").groupBy("bucket").agg(F.max_by("print", F.struct("drawn", "print")).alias("hub"))
@@ -262,11 +341,17 @@ def _labels(members: DataFrame, shingles: DataFrame) -> DataFrame | None:
         if rest is not None:
             many = many.join(rest.select("path", F.col("print").alias("a"), "rest"), ["path", "a"]).withColumn("lacking", F.array_intersect("rest", "lacking"))
         rest = cut(many.select(F.xxhash64("path", "b").alias("path"), F.col("a").alias("print"), F.array_sort("lacking").alias("rest"), "n"))
-        first = F.slice("rest", F.lit(1), F.floor(F.col("n") * (1 - SIMILARITY) + 1e-6).cast("int") + 1)
+        most = F.floor(F.col("n") * (1 - SIMILARITY) + 1e-6).cast("int")
+        covered.append(rest.where(F.size("rest") <= most).select("path", "print"))
+        first = F.slice("rest", F.lit(1), most + 1)
         parts = min(-(-rest.count() // DEALT_ROWS) or 1, int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         dealt = rest.select("path", "print", first.alias("first")).repartition(parts).select("path", "print", F.explode("first").alias("h"))
         members = _members(cut(dealt.select(F.xxhash64("path", "h").alias("bucket"), "print", "path")))
-    return labels if pending is None else _merged(labels, pending)
+    if pending is None:
+        return labels
+    labels = _merged(labels, pending)
+    links = _covered_links(reduce(DataFrame.unionByName, covered), labels, shingles)
+    return labels if links is None else _merged(labels, links)
 
 
 def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

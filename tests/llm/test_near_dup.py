@@ -159,3 +159,52 @@ def test_hashes_are_kept_within_bounds(monkeypatch):
     monkeypatch.setattr(nd, "CACHED_WORDS", 3)
     text = " ".join(prose(40))
     assert np.array_equal(shingles(text), nd.labelled_shingles(text, nd.WordHashes()))
+
+
+def labels_of_one_bucket(spark, texts, hub):
+    """Labels by text of a large bucket whose hub is given: it shares a second bucket with one more text."""
+    s = [shingles(t) for t in [*texts, " ".join(prose(50))]]
+    rows = [(1, b"%04d" % i, 0, len(texts)) for i in range(len(texts))] + [(2, b"%04d" % i, 0, 2) for i in (hub, len(texts))]
+    members = spark.createDataFrame(rows, "bucket long, print binary, path long, size long")
+    table = spark.createDataFrame([(b"%04d" % i, x.view(np.int64).tolist()) for i, x in enumerate(s)], "print binary, s array<bigint>")
+    got = nd._labels(members, table)
+    return {} if got is None else {int(bytes(r["node"])): int(bytes(r["label"])) for r in got.collect()}
+
+
+def test_a_hub_that_covers_all_that_two_texts_share(spark):
+    """The hub is longer than both, so neither is like it."""
+    p = prose(120)
+    texts = [" ".join(p + prose(2)), " ".join(p + prose(3)), " ".join(p + prose(80)), *(" ".join(prose(120)) for _ in range(40))]
+    assert labels_of_one_bucket(spark, texts, 2) == {0: 0, 1: 0}
+
+
+def test_blocks_compare_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 3)
+    monkeypatch.setattr(nd, "COUNTED", 7)
+    p = prose(100)
+    alike = [" ".join(p + prose(2)) for _ in range(5)] + [" ".join(p[:80] + prose(25)) for _ in range(4)]
+    other = prose(100)
+    long_hub = " ".join(p + prose(40) + other + prose(40))
+    alike += [" ".join(other + prose(i)) for i in range(1, 4)]
+    texts = [*alike, long_hub, *(" ".join(prose(100)) for _ in range(30))]
+    got = labels_of_one_bucket(spark, texts, len(alike))
+    want = plain_classes(list(enumerate(texts)))
+    assert {i: got.get(i, i) for i in want} == want and len(set(want.values())) > 30
+
+
+def test_many_texts_of_shared_passages(spark):
+    """Over a thousand texts put together from few passages, against all pairs."""
+    rnd = random.Random(5)
+    passages = [prose(30) for _ in range(12)]
+    rows = []
+    for i in range(1100):
+        chosen = sorted(rnd.sample(range(12), rnd.choice([3, 4, 5, 6])))
+        rows.append((i, " ".join(itertools.chain(*(passages[c] for c in chosen), prose(rnd.randint(1, 25))))))
+    s = [shingles(t) for _, t in rows]
+    linked = nd.linked_pairs(s, [b"%04d" % i for i in range(len(s))], list(range(len(s))), list(range(len(s))))
+    spread = [(b"%04d" % min(p), b"%04d" % max(p)) for p in linked]
+    labels = {bytes(r["node"]): int(bytes(r["label"])) for r in nd.connected(spark.createDataFrame(spread, "a binary, b binary")).collect()}
+    want = {i: labels.get(b"%04d" % i, i) for i, _ in rows}
+    rnd_pairs = [(rnd.randrange(1100), rnd.randrange(1100)) for _ in range(3000)]
+    assert all(want[a] == want[b] for a, b in rnd_pairs if nd.aligned(s[a], s[b]))
+    assert {r["doc_id"]: r["class_id"] for r in nd.duplicate_classes(docs_of(spark, rows)).collect()} == want
