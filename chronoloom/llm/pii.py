@@ -2,8 +2,9 @@
 
 Disguised text is normalised by transducers that note, for each character they write, the source
 characters it stands for: homoglyphs and wide forms to ASCII letters, any script's digits to 0-9,
-invisible characters to nothing; spelled digits to digits; bracketed or spelled "at" and "dot" in what
-looks like an address to their signs. The same detectors then run on the normalised text, and what
+invisible characters to nothing; spelled digits to digits, alone and among plain ones; bracketed or
+spelled dots between digits to dots; bracketed or spelled "at" and "dot" in what looks like an address
+to their signs. The same detectors then run on the normalised text, and what
 they find is mapped back.
 """
 
@@ -83,10 +84,17 @@ HOMOGLYPHS = {
 INVISIBLE = frozenset("­​‌‍⁠﻿")
 NUMBER_WORDS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
 _NUMBER = "|".join(NUMBER_WORDS)
-#: Spelled digits count from this many in a row on: seven are the fewest of a phone number.
-_SPELLED = re.compile(rf"(?i)(?<![A-Za-z])(plus[\x20,-]+)?((?:{_NUMBER})(?:[\x20,-]{{1,3}}(?:{_NUMBER})(?![A-Za-z])){{6,}})")
 _AT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+|\s*@\s*)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)"
+#: Plain and spelled digits and what may stand between them. A run counts from seven digits on, the
+#: fewest of a phone number, or with the three dots of an ip; which numbers count, the detectors tell.
+_RUN = re.compile(
+    rf"(?i)(?<![A-Za-z0-9])(?P<plus>plus[\x20,-]+)?(?:(?:{_NUMBER})(?![A-Za-z])|[0-9]++(?![A-Za-z]))"
+    rf"(?:(?:[\x20,-]{{1,3}}|\x20?[()]\x20?|\.|{_DOT})(?:(?:{_NUMBER})(?![A-Za-z])|[0-9]++(?![A-Za-z])))+"
+)
+_PART = re.compile("[A-Za-z]+|[0-9]+")
+_RUN_TRIGGER = re.compile(rf"(?i)(?<![A-Za-z])(?:{_NUMBER}|dot|plus)(?![A-Za-z])|[\[({{<]\s*\.")
+MIN_DIGITS, IP_DOTS = 7, 3
 _PLAIN = r"[A-Za-z0-9_%+-]+"
 #: An address of which a dot is disguised, or the at and no dot. It begins where its word does, which
 #: keeps long words linear.
@@ -148,16 +156,35 @@ def plain_characters(m: Mapped) -> Mapped:
 
 
 def spelled_digits(m: Mapped) -> Mapped:
-    """Runs of spelled digits, each word to its digit; 'plus' before one to its sign."""
+    """Runs of spelled and plain digits: each word to its digit, words in a row to one number, disguised
+    dots to dots; 'plus' before one to its sign. What else stands next to a word is a blank."""
     edits = []
-    for run in _SPELLED.finditer(m.text):
-        if run[1]:
-            edits.append((*run.span(1), "+"))
-        words = list(re.finditer(r"[A-Za-z]+", run[2]))
-        base = run.start(2)
-        for word, after in zip(words, [*words[1:], None], strict=True):
-            stop = base + (word.end() if after is None else after.start())
-            edits.append((base + word.start(), stop, NUMBER_WORDS[word[0].lower()]))
+    for run in _RUN.finditer(m.text):
+        start = run.end("plus") if run["plus"] else run.start()
+        parts = [(*p.span(), p[0].lower()) for p in _PART.finditer(m.text, start, run.end()) if p[0].lower() != "dot"]
+        between = [(a, b, m.text[a:b]) for (_, a, _), (b, _, _) in zip(parts, parts[1:], strict=False)]
+        dots = sum("." in gap or "dot" in gap.lower() for _, _, gap in between)
+        if dots < IP_DOTS and sum(1 if p in NUMBER_WORDS else len(p) for _, _, p in parts) < MIN_DIGITS:
+            continue
+        if run["plus"]:
+            edits.append((*run.span("plus"), "+"))
+        for i, (a, b, part) in enumerate(parts):
+            if part in NUMBER_WORDS:
+                edits.append((a, b, NUMBER_WORDS[part]))
+            if i == len(between):
+                break
+            a, b, gap = between[i]
+            words = (part in NUMBER_WORDS) + (parts[i + 1][2] in NUMBER_WORDS)
+            if "." in gap or "dot" in gap.lower():
+                new = "."
+            elif words == 2:
+                new = ""
+            elif words and gap not in (" ", "-"):
+                new = " "
+            else:
+                new = gap
+            if new != gap:
+                edits.append((a, b, new))
     return m.rewritten(edits)
 
 
@@ -180,7 +207,7 @@ def disguised(text: str) -> Mapped:
     m = Mapped(text)
     if not text.isascii():
         m = plain_characters(m)
-    if _SPELLED.search(m.text):
+    if _RUN_TRIGGER.search(m.text):
         m = spelled_digits(m)
     if _AT_TRIGGER.search(m.text):
         m = signs(m)

@@ -88,3 +88,33 @@ def test_empty_and_repeated(spark):
     assert pii.find_personal(spark.createDataFrame([], DOCS)).collect() == []
     got = pii.find_personal(docs_of(spark, [(None, "a@b.cd"), (1, ""), (1, "")])).collect()
     assert sorted((str(r["doc_id"]), len(r["base"])) for r in got) == [("1", 0), ("1", 0), ("None", 1)]
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("ping 192[.]168[.]1[.]1 now", "ip", "192[.]168[.]1[.]1"),
+        ("ping 192 dot 168 dot 1 dot 1 now", "ip", "192 dot 168 dot 1 dot 1"),
+        ("ping 192 (dot) 168.1.1 now", "ip", "192 (dot) 168.1.1"),
+        ("ping one nine two dot one six eight dot one dot one now", "ip", "one nine two dot one six eight dot one dot one"),
+        ("ping 10.0.zero[.]one now", "ip", "10.0.zero[.]one"),
+        ("call +1 555 010 one two three four today", "phone", "+1 555 010 one two three four"),
+        ("call +1 (555) zero one zero, 1234 today", "phone", "+1 (555) zero one zero, 1234"),
+        ("call plus one 555 010 9999 today", "phone", "plus one 555 010 9999"),
+        ("card 4111 1111 one one one one 1111.", "card", "4111 1111 one one one one 1111"),
+        ("card four one one one 1111-1111-one one one one.", "card", "four one one one 1111-1111-one one one one"),
+    ],
+)
+def test_partly_disguised_numbers(text, kind, found):
+    base, more = pii.personal_spans(text)
+    assert (base, [(pii.KINDS[k], text[a:b]) for k, a, b in more]) == ([], [(kind, found)])
+
+
+@pytest.mark.parametrize("text", ["300 dot 1 dot 1 dot 1", "4111 1111 one one one one 1112", "4111 1111 one one one one 1111 1111", "in 2024 one of 12 or one dot", "version 1 dot 2 dot 3", "on 2024-01-15 one two", "10,000,000 and one"])
+def test_other_numbers_are_left_alone(text):
+    assert pii.personal_spans(text) == ([], [])
+
+
+def test_long_runs_are_linear():
+    text = "1 one " * 30_000 + "1[.]" * 50_000 + "1" + " " * 100_000 + "one dot " * 30_000 + "2" * 100_000
+    pii.personal_spans(text)
