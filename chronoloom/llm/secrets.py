@@ -157,13 +157,38 @@ def log_ratio(token: Column, table: list[int]) -> Column:
     return F.aggregate(_steps(token), F.lit(0).cast("long"), lambda a, s: a + F.get(values, s)) / 1000.0
 
 
+def _outside(token: Column, base: Column) -> Column:
+    """The parts of a token's span that lie outside the base spans, which are in order."""
+    over = F.filter(base, lambda b: (b["start"] < token["stop"]) & (token["start"] < b["stop"]))
+
+    def part(over: Column, i: Column) -> Column:
+        start = F.when(i == 0, token["start"]).otherwise(F.array_max(F.transform(F.slice(over, F.lit(1), i), lambda b: b["stop"])))
+        stop = F.when(i == F.size(over), token["stop"]).otherwise(F.get(over, i)["start"])
+        return F.struct(start.alias("start"), F.lit(3).alias("kind"), stop.alias("stop"))
+
+    parts = let(over, lambda o: F.transform(F.sequence(F.lit(0), F.size(o)), lambda i: part(o, i)))
+    return F.filter(parts, lambda s: s["start"] < s["stop"])
+
+
 def secret_spans(text: Column, table: list[int], min_ratio: float = MIN_RATIO) -> Column:
-    """Base spans and, as kind 'random', those of other tokens by the models, none over a base span."""
+    """Base spans and, as kind 'random', those of other tokens by the models, none over a base span.
+
+    Of a token that touches base spans, each part outside them counts that is random by itself, or that
+    is likelier random than not, however short, in a token that is random as a whole.
+    """
+
+    def ratio(s: Column) -> Column:
+        return log_ratio(F.substring(text, s["start"] + 1, s["stop"] - s["start"]), table)
+
+    def parts(base: Column) -> Column:
+        touching = F.filter(_spans(text, TOKEN, 3), lambda s: F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
+        judged = F.transform(touching, lambda t: F.filter(_outside(t, base), lambda s: (ratio(s) >= min_ratio) | ((ratio(s) > 0) & (ratio(t) >= min_ratio))))
+        return F.when(F.size(base) > 0, F.flatten(judged)).otherwise(F.array().cast(_SPAN))
 
     def all_spans(base: Column) -> Column:
         scored = _spans(text, TOKEN, 3, lambda m, i: log_ratio(F.get(m, i), table) >= min_ratio)
         own = F.filter(scored, lambda s: ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-        return F.array_sort(F.concat(base, own))
+        return F.array_sort(F.concat(base, own, parts(base)))
 
     return let(base_spans(text), all_spans)
 
