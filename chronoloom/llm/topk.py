@@ -8,17 +8,19 @@ ceiling; each adds its impact floor to the accumulators of its vectors. What a v
 is bounded by the dimensions' quantisation slack or by the ceiling of their next segment. Processing
 stops only on proof: every vector whose accumulator plus that bound reaches the k-th best exact score
 known so far is a possible member and is rescored exactly, all others are provably below. The blocks'
-results are merged by score and id.
+results are merged by score and id. Where a block's sums for a query could pass 64 bits, its vectors are
+all scored instead, those of large products with Python's integers.
 """
 
 from __future__ import annotations
 
+import heapq
 import io
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read
@@ -27,8 +29,8 @@ SCALE = 256
 BLOCK = 16_384
 QUERY_BLOCK = 2_048
 LEVELS = 16
-#: Largest magnitude of an integer component: beyond it the long score could overflow.
-LIMIT = 1 << 26
+#: Sums below this, with room for the few that are added to each other, are safe in 64 bits.
+SAFE = float(1 << 60)
 
 
 def build_block(ids: np.ndarray, vectors: np.ndarray, levels: int = LEVELS) -> dict[str, np.ndarray]:
@@ -38,13 +40,27 @@ def build_block(ids: np.ndarray, vectors: np.ndarray, levels: int = LEVELS) -> d
     order = np.argsort(vectors, axis=0, kind="stable").T.astype(np.int32)
     ranked = np.take_along_axis(vectors.T, order, axis=1)
     low, high = ranked[:, :1], ranked[:, -1:]
-    quantised = (ranked - low) * levels // (high - low + 1)
+    if np.abs(ranked.astype(float)).max(initial=0) * levels < SAFE:
+        quantised = (ranked - low) * levels // (high - low + 1)
+    else:  # any levels that rise with the values will do
+        span = np.maximum(high.astype(float) - low, 1)
+        quantised = np.minimum((ranked.astype(float) - low) / span * levels, levels - 1).astype(np.int64)
     starts = np.stack([np.searchsorted(row, np.arange(levels + 1)) for row in quantised]) if dims else np.zeros((0, levels + 1), np.int64)
     first = np.take_along_axis(ranked, np.minimum(starts[:, :-1], n - 1), axis=1)
     last = np.take_along_axis(ranked, np.maximum(starts[:, 1:] - 1, 0), axis=1)
     return {"ids": ids, "vectors": vectors, "order": order, "starts": starts, "first": first, "last": last}
 
 
+def score_all(index: dict[str, np.ndarray], query_id: int, weights: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """search_block() of any components, all vectors scored."""
+    ids, vectors = index["ids"], index["vectors"]
+    large = np.abs(vectors.astype(float)) @ np.abs(weights.astype(float)) >= SAFE
+    scores = (np.where(large[:, None], 0, vectors) @ weights).astype(object)
+    scores[large] = vectors[large].astype(object) @ weights.astype(object)
+    best = heapq.nsmallest(k, ((-s, i) for s, i in zip(scores.tolist(), ids.tolist(), strict=True) if i != query_id))
+    return [(i, -s) for s, i in best]
+
+
 def search_block(index: dict[str, np.ndarray], query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
     """The k best (vec_id, score) of one block for one query; rows of the query's id take no part."""
     ids, vectors, order, starts = index["ids"], index["vectors"], index["order"], index["starts"]
@@ -54,6 +70,9 @@ def search_block(index: dict[str, np.ndarray], query_id: int, query: np.ndarray,
     allowed = ids != query_id
     if not allowed.any():
         return []
+    most = np.maximum(np.abs(index["first"][:, 0].astype(float)), np.abs(index["last"][:, -1].astype(float))) if dims else np.zeros(0)
+    if most @ np.abs(weights.astype(float)) >= SAFE / 4:
+        return score_all(index, query_id, weights, k)
     counts = np.diff(starts, axis=1)
     ends = np.stack([index["first"] * weights[:, None], index["last"] * weights[:, None]])
     floor, ceiling = ends.min(axis=0), ends.max(axis=0)
@@ -120,11 +139,18 @@ def _dense(lists: list[np.ndarray]) -> np.ndarray:
 
 
 def integer_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """id and v, the components floor(scale * x) of each vector that takes part."""
+    """id and v, the components floor(scale * x) of each vector that takes part: of no null or
+    non-finite component. A finite one whose integer is no long is an error, as in SQL."""
     v = F.col(vector_col)
-    finite = F.forall(v, lambda x: x.isNotNull() & (F.abs(F.floor(x.cast("double") * scale)) <= LIMIT) & ~F.isnan(x.cast("double")))
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     fit = F.col(id_col).isNotNull() & v.isNotNull() & finite
-    return table.where(fit).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
+
+    def whole(x: Column) -> Column:
+        scaled = x.cast("double") * scale
+        fits = (scaled >= -(2.0**63)) & (scaled < 2.0**63)
+        return F.when(fits, F.floor(scaled).cast("long")).otherwise(F.raise_error(F.lit("a vector's integer component is no long")).cast("long"))
+
+    return table.where(fit).select(F.col(id_col).cast("long").alias("id"), F.transform(v, whole).alias("v"))
 
 
 def build_index(vectors: DataFrame, block: int = BLOCK, levels: int = LEVELS) -> DataFrame:
@@ -155,7 +181,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, qu
     product, ties to the smaller id.
 
     vectors and queries are (id long, v array<long>), as integer_vectors() makes them: ids and
-    vectors that are null, or hold null, non-finite or over-large components, take no part. A vector
+    vectors that are null, or hold null or non-finite components, take no part. Scores are exact; one of
+    the best that is no long is an error. A vector
     shorter than the query counts as filled up with zeros. Rows that bear the query's id are no
     candidates for it. Repeated candidate rows are candidates each; repeated query rows are one
     query; different query vectors of one id are ranked apart. With fewer than k candidates all are

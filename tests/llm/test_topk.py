@@ -54,3 +54,27 @@ def test_vectors_of_other_lengths_and_repeats(spark):
     v = spark.createDataFrame([(0, [1, 1]), (1, [5]), (2, []), (3, [1, 2, 9]), (3, [1, 2, 9]), (0, [1, 1])], "id long, v array<long>")
     got = rows_of(topk.top_k(v, v.where("id = 0"), 9))
     assert got == [(0, 1, 5, 1), (0, 2, 3, 3), (0, 3, 3, 3), (0, 4, 0, 2)]
+
+
+def test_large_components_take_part(spark, tmp_path):
+    """Integers beyond 2^26, up to those whose scores still are longs."""
+    rnd = random.Random(8)
+    rows = [(i, [float(rnd.randint(-9, 9)) for _ in range(4)], 0) for i in range(200)]
+    rows += [(200 + i, [rnd.choice([-1.0, 1.0]) * rnd.randint(2**18, 2**20), 0.5, float(2**19 + i), 1.0], 0) for i in range(60)]
+    rows += [(300, [float(2**22), 1.0, 1.0, 0.0], 0), (301, [-float(2**22), 1.0, float(2**21), 0.0], 0), (302, [0.0, math.inf, 1.0, 1.0], 0)]
+    d = saved(spark, tmp_path, embeddings=spark.createDataFrame(rows, VECTORS))
+    got = rows_of(topk.op10_top_k(spark, d))
+    assert got == sql_rows(topk.OP10_SQL, d) and {300, 301} & {r[3] for r in got}
+
+
+def test_sums_beyond_64_bits_are_exact():
+    rnd = random.Random(3)
+    rows = [(i, [rnd.choice([-1, 1]) * rnd.randint(0, 1 << rnd.choice([8, 40, 62])) for _ in range(5)]) for i in range(300)]
+    index = topk.build_block(np.array([i for i, _ in rows], np.int64), np.array([v for _, v in rows], np.int64))
+    for query_id, q in [*rows[:30], (-1, [1, 0, -1, 2, 0]), (-2, [0] * 5)]:
+        assert topk.search_block(index, query_id, np.array(q, np.int64), 5) == best(rows, query_id, q, 5)
+
+
+def test_components_beyond_a_long_fail(spark):
+    with pytest.raises(Exception, match="no long"):
+        topk.integer_vectors(spark.createDataFrame([(1, [1e30], 0)], VECTORS)).collect()
