@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -103,26 +104,109 @@ def _judged(revisits: DataFrame) -> DataFrame:
 # Files
 
 
-def parse_warc(data: bytes) -> Iterator[dict]:
-    """The records of a WARC file, gzipped (whole or member by member) or plain.
+class _Unpacked(io.RawIOBase):
+    """A file's content: as it is, or its gzip members unpacked up to damage or what is no member."""
 
-    A record that is cut off or malformed ends the file; those before it are kept.
-    """
-    source: io.BufferedIOBase = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    try:
-        while line := source.readline():
-            if not line.strip():
+    def __init__(self, data: bytes):
+        self.data, self.at, self.member, self.plain = data, 0, None, not data.startswith(b"\x1f\x8b")
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        out = b""
+        while not out and self.at < len(self.data):
+            if self.plain:
+                out = self.data[self.at : self.at + len(buffer)]
+                self.at += len(out)
                 continue
-            if not line.startswith(b"WARC/"):
-                return
-            fields = {n.lower(): v for n, v in _fields(source)}
-            size = int(fields.get("content-length", "0"))
-            block = source.read(size)
-            if len(block) < size:
-                return
+            if self.member is None and not self.data.startswith(b"\x1f\x8b", self.at):
+                break
+            self.member = self.member or zlib.decompressobj(31)
+            piece = self.data[self.at : self.at + 4096]
+            try:
+                out = self.member.decompress(piece, len(buffer))
+            except zlib.error:
+                break
+            self.at += len(piece) - len(self.member.unused_data if self.member.eof else self.member.unconsumed_tail)
+            if self.member.eof:
+                self.member = None
+        if not out and self.member is not None and self.at == len(self.data):
+            out = self.member.decompress(b"", len(buffer))  # what a member that is cut off still holds
+        buffer[: len(out)] = out
+        return len(out)
+
+    def resume(self) -> bytes:
+        """Goes to the next gzip member; the bytes passed over."""
+        start, self.member = self.at, None
+        found = self.data.find(b"\x1f\x8b\x08", start + 1)
+        self.at = len(self.data) if found < 0 else found
+        return self.data[start : self.at]
+
+
+def records_and_gaps(data: bytes) -> Iterator[dict]:
+    """The records of a WARC file, gzipped (whole or member by member) or plain, and what is none.
+
+    After a record that is cut off or malformed reading starts again at the next line that begins with
+    WARC/, after a damaged gzip member at the next one. What is passed over is a row of kind 'skipped'
+    with its bytes as payload, unpacked where they could be.
+    """
+    raw = _Unpacked(data)
+    source = io.BufferedReader(raw)
+    while raw.at < len(data):
+        yield from _stretch(source)
+        if raw.at < len(data) and (lost := raw.resume()).strip(b"\0"):
+            yield _gap([lost])
+
+
+def parse_warc(data: bytes) -> Iterator[dict]:
+    """The records of records_and_gaps()."""
+    return (r for r in records_and_gaps(data) if r["kind"] != "skipped")
+
+
+def _gap(lost: list[bytes]) -> dict:
+    return {"record_id": None, "kind": "skipped", "url": None, "date": None, "status": None, "headers": [], "payload": b"".join(lost)}
+
+
+def _stretch(source) -> Iterator[dict]:
+    lost: list[bytes] = []
+    line = source.readline()
+    while line:
+        if not line.startswith(b"WARC/"):
+            if lost or line.strip():
+                lost.append(line)
+            line = source.readline()
+            continue
+        head = [line]
+        while (line := source.readline()).strip() and not line.startswith(b"WARC/"):
+            head.append(line)
+        if line.startswith(b"WARC/"):
+            lost += head
+            continue
+        head.append(line)
+        fields = {n.lower(): v for n, v in _fields(io.BytesIO(b"".join(head[1:])))}
+        length = fields.get("content-length", "0")
+        if not line or not re.fullmatch("[0-9]{1,18}", length):
+            lost += head
+            line = source.readline()
+            continue
+        pieces, left = [], int(length)
+        while left and (piece := source.read(min(left, 1 << 20))):
+            pieces.append(piece)
+            left -= len(piece)
+        block = b"".join(pieces)
+        if left:  # the length may be wrong, and records begin in what was read
+            inside = re.search(rb"(?m)^WARC/", block)
+            lost += [*head, block[: inside.start()] if inside else block]
+            source = io.BytesIO(block[inside.start() :] if inside else b"")
+        else:
+            if lost:
+                yield _gap(lost)
+                lost = []
             yield _record(fields, block)
-    except (EOFError, OSError, ValueError, zlib.error):
-        return
+        line = source.readline()
+    if lost:
+        yield _gap(lost)
 
 
 def _fields(source) -> Iterator[tuple[str, str]]:
@@ -155,14 +239,14 @@ def format_record(record: dict) -> bytes:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all WARC files under path. A task holds one compressed file at a time."""
+    """The records of all WARC files under path, and rows of kind 'skipped' of what is none. A task holds one compressed file at a time."""
     schema = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("url", pa.string()), ("date", pa.string()), ("status", pa.int32()), ("headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("payload", pa.binary())])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("content"):
                 held, size = [], 0
-                for record in parse_warc(data.as_py()):
+                for record in records_and_gaps(data.as_py()):
                     held.append(record)
                     size += len(record["payload"])
                     if size > 8_000_000:

@@ -91,3 +91,30 @@ def test_files_cut_off(cut):
     # The last byte is of the last member's check sum, after its record.
     assert len(list(warc.parse_warc(data[:-cut]))) == {1: 3, 30: 2, 200: 1}[cut]
     assert list(warc.parse_warc(b"junk")) == []
+
+
+def test_records_after_damage_are_read(spark, tmp_path):
+    import gzip
+
+    a, b, c = map(warc.format_record, RECORDS)
+    plain = [gzip.decompress(x) for x in (a, b, c)]
+    damaged = b[:20] + bytes(x ^ 255 for x in b[20:60]) + b[60:]
+    no_length = plain[1].replace(b"Content-Length: ", b"Content-Length: x")
+    too_long = plain[1].replace(b"Content-Length: ", b"Content-Length: 9999")
+    files = {
+        "member": a + damaged + c,
+        "junk": a + b"no member" + c,
+        "header": plain[0] + no_length + plain[2],
+        "length": plain[0] + too_long + plain[2],
+        "line": plain[0] + b"WURC/1.1\r\n" + plain[1][10:] + plain[2],
+        "packed": gzip.compress(plain[0] + no_length + plain[2]),
+    }
+    for name, data in files.items():
+        assert list(warc.parse_warc(data)) == [RECORDS[0], RECORDS[2]], name
+        assert sum(len(r["payload"]) for r in warc.records_and_gaps(data) if r["kind"] == "skipped") > 8, name
+        (tmp_path / name).write_bytes(data)
+    kinds = [r["kind"] for r in warc.read_warc(spark, str(tmp_path)).collect()]
+    assert kinds.count("response") == kinds.count("warcinfo") == 6 and kinds.count("skipped") >= 6
+    assert list(warc.parse_warc(plain[0] + plain[1][:-8])) == [RECORDS[0]] and len(list(warc.records_and_gaps(plain[0] + plain[1][:-8]))) == 2
+    whole = [{**RECORDS[0], "payload": b"x\n" * 3_000_000}]
+    assert list(warc.records_and_gaps(warc.format_record(whole[0]) + a)) == [*whole, RECORDS[0]]
