@@ -25,14 +25,28 @@ def cut(df: DataFrame) -> DataFrame:
     The setting is the session's. Only where it has none, as in tests on one machine, a temporary
     folder is taken. A table is written, not a checkpoint: that would keep the partitionings and
     constraints of the plan that made it, which multiply in a loop until planning takes longer than the
-    work. Tables stay for as long as the folder's owner keeps them.
+    work. Tables stay until discard() or the folder's owner removes them.
     """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of tables that cut() made and nothing reads any more."""
+    for table in tables:
+        if path := getattr(table, "cut_path", None):
+            context = table.sparkSession.sparkContext
+            root = context._jvm.org.apache.hadoop.fs.Path(path)
+            root.getFileSystem(context._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def free_name(df: DataFrame, name: str) -> str:
