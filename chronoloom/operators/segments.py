@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.time import RETENTION_SECONDS, SEGMENT_SECONDS
 
 
-def manifest(points: DataFrame) -> DataFrame:
-    """seg, min_ts, max_ts, series_count, points_count and frozen (it spans more than its length).
+def manifest(points: DataFrame, segment_seconds: int = SEGMENT_SECONDS) -> DataFrame:
+    """seg, min_ts, max_ts, series_count, points_count and frozen: its times span more than a segment's
+    length. One that the clock has cut by that length never does, one cut otherwise may.
 
     Series are counted after a grouping by them, so that no task holds a segment's series at once.
     """
     by_series = points.groupBy("seg", "labels_key").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"))
     found = by_series.groupBy("seg").agg(F.min("a").alias("min_ts"), F.max("b").alias("max_ts"), F.count("*").alias("series_count"), F.sum("n").alias("points_count"))
-    return found.withColumn("frozen", F.col("max_ts") - F.col("min_ts") > SEGMENT_SECONDS)
+    return found.withColumn("frozen", F.col("max_ts") - F.col("min_ts") > segment_seconds)
 
 
 def overlaps(start: int, end: int, strict: bool = False, low: str = "min_ts", high: str = "max_ts") -> Column:

@@ -264,9 +264,12 @@ def segment_manifest(spark, sf_dir):
     return segments.manifest(points_of(spark, sf_dir)).drop("frozen")
 
 
-@query(f"WITH ev AS (SELECT *, ts // 86400 * 86400 AS seg FROM (SELECT {_KEY} AS labels_key, epoch_us(ts) // 1000000 AS ts FROM events)), {_MANIFEST} SELECT seg, frozen FROM manifest")
+@query(f"WITH ev AS (SELECT *, ts // 86400 * 86400 AS seg FROM (SELECT {_KEY} AS labels_key, epoch_us(ts) // 1000000 AS ts FROM events)), {_MANIFEST} SELECT seg, frozen, max_ts - min_ts > 86400 AS frozen_day FROM manifest")
 def segment_frozen(spark, sf_dir):
-    return segments.manifest(ingest.normalise(event_rows(spark, sf_dir), 86_400)).select("seg", "frozen")
+    # Points cut by days, of a segment length of two hours and of a day.
+    points = ingest.normalise(event_rows(spark, sf_dir), 86_400)
+    days = segments.manifest(points, 86_400).select("seg", F.col("frozen").alias("frozen_day"))
+    return segments.manifest(points).select("seg", "frozen").join(days, "seg")
 
 
 def _choice(strict: bool):
@@ -314,9 +317,11 @@ _LATE = f"""d AS (SELECT {_KEY} AS labels_key, epoch_us(ts) // 1000000 // 3600 *
  late_split AS (SELECT *, ts <= coalesce(max(ts) OVER (PARTITION BY seg, labels_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS late FROM s)"""
 
 
-def _late(spark, sf_dir):
+def _late(spark, sf_dir, near=None):
+    """Points with ``late``; near: a condition of series and segments, under which no other is ranked."""
     rows = event_rows(spark, sf_dir).withColumn("ts", (F.floor(F.col("ts") / 3600) * 3600).cast("long")).withColumn("seq", F.col("seq") * 7919 % 1000003)
-    return ingest.late_split(ingest.normalise(rows, 86_400)).select("seg", "labels_key", "metric", "labels", "ts", "value", "seq", "late")
+    points = ingest.normalise(rows, 86_400)
+    return ingest.late_split(points if near is None else points.where(near)).select("seg", "labels_key", "metric", "labels", "ts", "value", "seq", "late")
 
 
 _LATE_COLUMNS = ["seg", "labels_key", "ts", "value", "seq", "late"]
@@ -341,9 +346,10 @@ def archive_merge(spark, sf_dir):
     return ingest.archive_merge(_late(spark, sf_dir)).select(*_LATE_COLUMNS)
 
 
-def _seen(view: DataFrame) -> DataFrame:
+def _seen(spark, sf_dir, view) -> DataFrame:
     match = predicate([Matcher(METRIC, "click")], F.col("labels"), F.col("metric"))
-    return view.where(match & search.in_range(*DAYS)).select("labels_key", "ts", "value")
+    points = _late(spark, sf_dir, match & search.in_segments(*DAYS, 86_400))
+    return view(points).where(search.in_range(*DAYS)).select("labels_key", "ts", "value")
 
 
 _SEEN = f"""WHERE starts_with(labels_key, '{{__name__="click"') AND ts BETWEEN {DAYS[0]} AND {DAYS[1]}"""
@@ -351,12 +357,12 @@ _SEEN = f"""WHERE starts_with(labels_key, '{{__name__="click"') AND ts BETWEEN {
 
 @query(f"{_HOT} SELECT labels_key, ts, value FROM hot {_SEEN}")
 def range_hot(spark, sf_dir):
-    return _seen(ingest.hot_view(_late(spark, sf_dir)))
+    return _seen(spark, sf_dir, ingest.hot_view)
 
 
 @query(f"{_ARCHIVE} SELECT labels_key, ts, value FROM archive {_SEEN}")
 def range_archive(spark, sf_dir):
-    return _seen(ingest.archive_merge(_late(spark, sf_dir)))
+    return _seen(spark, sf_dir, ingest.archive_merge)
 
 
 @query(f"""WITH {_EV}, a AS (SELECT *, ts - lag(ts) OVER (PARTITION BY seg, labels_key ORDER BY ts, seq) AS delta FROM (SELECT * REPLACE (ts // 86400 * 86400 AS seg) FROM ev)),
@@ -372,7 +378,10 @@ def dod_buckets(spark, sf_dir):
 def scratch(spark: SparkSession) -> str:
     """A folder that all executors see, for a store that is written to be read back."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stores-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="stores-"))
     number = spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()
     return f"{spark.sparkContext.getCheckpointDir()}/store-{number}"
 
@@ -394,9 +403,34 @@ for _name, _codec in (("store_roundtrip", "zstd"), ("store_roundtrip_none", "unc
 
 @query(f"WITH {_EV} SELECT labels_key, ts, value FROM ev WHERE metric = 'click' AND uid = '3' AND ts BETWEEN {MONTH[0]} AND {MONTH[1]}")
 def store_range(spark, sf_dir):
+    return _stored(spark, sf_dir).query_range("click", [Matcher("user_id", "3")], *MONTH)
+
+
+def _stored(spark, sf_dir):
     store = Store(spark, scratch(spark), Options(codec="zstd", segment_seconds=86_400))
     store.append(event_rows(spark, sf_dir))
-    return store.query_range("click", [Matcher("user_id", "3")], *MONTH)
+    return store
+
+
+#: A range that begins and ends within segments of a day.
+WITHIN = (1_704_200_000, 1_704_700_000)
+
+
+@query(f"WITH {_EV} SELECT labels_key, ts, value FROM ev WHERE metric = 'click' AND ts BETWEEN {WITHIN[0]} AND {WITHIN[1]}")
+def store_range_within(spark, sf_dir):
+    return _stored(spark, sf_dir).query_range("click", [], *WITHIN)
+
+
+@query(f"""WITH {_EV}, m AS (SELECT DISTINCT labels_key FROM ev WHERE metric = 'click' AND ts // 86400 BETWEEN {WITHIN[0] // 86400} AND {WITHIN[0] // 86400 + 1})
+  SELECT m.labels_key, e.ts, e.value FROM m LEFT JOIN ev e ON m.labels_key = e.labels_key AND e.ts BETWEEN {WITHIN[0]} AND {WITHIN[0] + 43_200}""")
+def store_range_empty(spark, sf_dir):
+    return _stored(spark, sf_dir).query_range("click", [], WITHIN[0], WITHIN[0] + 43_200, empty=True)
+
+
+@query(f"WITH {_EV} SELECT DISTINCT labels_key, uid AS user_id FROM ev WHERE metric IN ('click', 'view') AND uid LIKE '1%' AND ts // 86400 BETWEEN {WITHIN[0] // 86400} AND {WITHIN[1] // 86400}")
+def store_series(spark, sf_dir):
+    found = _stored(spark, sf_dir).query_series([Matcher(METRIC, "click|view", True), Matcher("user_id", "1.*", True)], *WITHIN)
+    return found.select("labels_key", F.element_at("labels", "user_id").alias("user_id"))
 
 
 @query(f"WITH {_EV} SELECT ts // 86400 * 86400 AS seg, metric, labels_key, ts, value, seq FROM ev")

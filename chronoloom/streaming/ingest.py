@@ -6,6 +6,8 @@ outdated rows may be given one, which bounds what it has to remember.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,13 +21,15 @@ BATCH_ROWS = 1 << 40
 def start_ingest(rows: DataFrame, store: Store, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Append each micro-batch of rows (metric, labels, ts, value) to the store.
 
-    seq orders batches by number and rows within one by partition and place, if rows have none. Files
-    of a batch that is run again after a failure hold the same seq, by which compact() drops them.
+    seq orders batches by number and rows within one by partition and place, if rows have none. A batch
+    is an append named by the stream (its checkpoint) and its number: one that is run again after it
+    was committed changes nothing, one that wasn't is written over.
     """
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()
 
     def append(batch: DataFrame, number: int) -> None:
         numbered = batch if "seq" in batch.columns else batch.withColumn("seq", F.lit(number * BATCH_ROWS) + F.monotonically_increasing_id())
-        store.append(numbered)
+        store.append(numbered, name=f"{stream}-{number:012d}")
 
     writer = rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
