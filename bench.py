@@ -65,6 +65,7 @@ def main() -> None:
         extra[f"rows_per_s_{codec}"] = round(series * steps / seconds[f"ingest_{codec}"])
         extra[f"bytes_per_point_{codec}"] = round(size / (series * steps), 3)
     seconds["store_range"] = best(lambda: all_rows(store.query_range("metric.3", [Matcher("node", "vm1"), Matcher("dc", "7")], 1_600_000_000, 1_600_003_600)))
+    extra["store_range_rows"] = store.query_range("metric.3", [Matcher("node", "vm1"), Matcher("dc", "7")], 1_600_000_000, 1_600_003_600).count()
     seconds["store_full_scan"] = best(lambda: all_rows(store.points()))
     print(json.dumps({"metric": "sum of the queries' best times", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": SF_DIR.rsplit("sf", 1)[-1], **extra, "range": MONTH}))
     spark.stop()

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.labels import METRIC, filter_labels, has_label, label_map, labels_string
+from ..functions.labels import METRIC, filter_labels, has_label, label_map, labels_hash as hash_of, labels_string
 from ..functions.time import RETENTION_SECONDS, SEGMENT_SECONDS
 from ..operators import codec, ingest, postings, search, segments
 from ..sources.events import event_rows, event_stream
@@ -100,6 +100,13 @@ def labels_string_(spark, sf_dir):
 QUERIES["labels_string"], ORACLES["labels_string"] = QUERIES.pop("labels_string_"), ORACLES.pop("labels_string_")
 
 
+@query(f"WITH {_SPARSE} SELECT metric, count(DISTINCT labels_key) AS n_series, count(DISTINCT labels_key) AS n_hashes FROM sp GROUP BY metric")
+def labels_hash(spark, sf_dir):
+    """As many hashes as series: equal sets hash alike, others don't."""
+    points = points_of(spark, sf_dir, sparse=True)
+    return points.groupBy("metric").agg(F.countDistinct("labels_key").alias("n_series"), F.countDistinct(hash_of(F.col("labels"))).alias("n_hashes"))
+
+
 @query(f"WITH {_SPARSE} SELECT seq, k IS NOT NULL AS has_k, false AS has_other FROM sp")
 def labels_has(spark, sf_dir):
     points = points_of(spark, sf_dir, sparse=True)
@@ -170,9 +177,12 @@ def series_points_all(spark, sf_dir):
 # Matchers
 
 
-@query(_range_sql("metric = 'click' AND uid = '('", MONTH))
+@query(f"""WITH {_EV} SELECT '{{__name__="click", user_id="("}}' AS labels_key, ts, value FROM ev WHERE metric = 'click' AND uid = '3' AND ts BETWEEN {MONTH[0]} AND {MONTH[1]}""")
 def matcher_invalid_regex(spark, sf_dir):
-    return _range(spark, sf_dir, "click", [Matcher("user_id", "(", True)], MONTH)
+    """A pattern that is none is compared as text; user 3 is named by it."""
+    named = F.transform("labels", lambda x: F.struct(x["name"].alias("name"), F.when(x["value"] == "3", "(").otherwise(x["value"]).alias("value")))
+    points = ingest.normalise(event_rows(spark, sf_dir, *MONTH).withColumn("labels", named))
+    return search.query_range(points, "click", [Matcher("user_id", "(", True)], *MONTH)
 
 
 @query(_range_sql("metric = 'click' AND starts_with(uid, '2')", MONTH))
@@ -272,15 +282,15 @@ def segment_frozen(spark, sf_dir):
     return segments.manifest(points).select("seg", "frozen").join(days, "seg")
 
 
-def _choice(strict: bool):
+def _choice(strict: bool, span: tuple[int, int]):
     def run(spark, sf_dir):
-        return segments.choose_segments(segments.manifest(points_of(spark, sf_dir)), *EDGES, strict).select("seg", "min_ts", "max_ts")
+        return segments.choose_segments(segments.manifest(points_of(spark, sf_dir)), *span, strict).select("seg", "min_ts", "max_ts")
 
     return run
 
 
-query(f"WITH {_EV}, {_MANIFEST} SELECT seg, min_ts, max_ts FROM manifest WHERE {_strict(*EDGES)}", "choose_segments")(_choice(True))
-query(f"WITH {_EV}, {_MANIFEST} SELECT seg, min_ts, max_ts FROM manifest WHERE {_inclusive(*EDGES)}", "choose_segments_inclusive")(_choice(False))
+query(f"WITH {_EV}, {_MANIFEST} SELECT seg, min_ts, max_ts FROM manifest WHERE {_strict(*DAYS)}", "choose_segments")(_choice(True, DAYS))
+query(f"WITH {_EV}, {_MANIFEST} SELECT seg, min_ts, max_ts FROM manifest WHERE {_inclusive(*EDGES)}", "choose_segments_inclusive")(_choice(False, EDGES))
 
 
 @query(f"WITH {_EV}, {_MANIFEST} SELECT seg, max_ts FROM manifest WHERE {NOW} - max_ts <= {RETENTION_SECONDS}")
