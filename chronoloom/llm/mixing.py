@@ -57,7 +57,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], schedules: Sequen
     """
     sources = cut(sizes.groupBy("source").agg(F.sum("words").cast("long").alias("source_size")))
     n = sources.count()
-    nth = running_sum(sources.withColumn("one", F.lit(1).cast("long")), [], [F.col("source").asc_nulls_last()], "one", "nth")
+    nth = _nth(sources)
     turns = [float(w * integral(s)) for w, s in zip(weights, schedules, strict=True)]
     weight = F.element_at(F.array(*map(F.lit, turns)), (F.col("nth") % len(turns) + 1).cast("int"))
     sources = cut(nth.select("source", "source_size", "nth", weight.alias("weight")))
@@ -95,13 +95,7 @@ def mix_plan(docs: DataFrame, keys: Sequence[str], size: str, source: str, weigh
     begins = [F.col("start") + F.col("source_size") * p for p in range(max_times)]
     takes = [F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), due - b)) for b in begins]
 
-    def position(begin: Column, take: Column) -> Column:
-        share, time = begin / due, F.lit(None).cast("double")
-        for i, schedule in enumerate(schedules):
-            time = F.when(F.col("nth") % len(schedules) == i, time_of(share, schedule)).otherwise(time)
-        return F.when(take > 0, F.round(time, 9))
-
-    positions = [position(b, t) for b, t in zip(begins, takes, strict=True)]
+    positions = [F.when(t > 0, _scheduled(b / due, schedules)) for b, t in zip(begins, takes, strict=True)]
     return joined.select(*(F.col(f"key_{k}").alias(k) for k in keys), F.col("source").alias(source), F.col("size").alias(size), "source_size", "target", "nth", "repeats", "copy", F.array(*takes).alias("times"), F.array(*positions).alias("positions"))
 
 
@@ -123,15 +117,58 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", key
     return out.orderBy(F.col("position").asc_nulls_last(), key)
 
 
+def _marked(docs: DataFrame, text: str, source: str, key: str) -> tuple[DataFrame, str]:
+    """docs with size, print and rest under a free prefix, which with key and source tell rows apart,
+    and the prefix."""
+    free, others = free_prefix(docs), [c for c in docs.columns if c not in (text, source, key)]
+    rest = F.md5(F.to_json(F.struct(*others))) if others else F.lit("")
+    return docs.withColumn(f"{free}size", word_count(F.col(text))).withColumn(f"{free}print", F.md5(F.col(text))).withColumn(f"{free}rest", rest), free
+
+
+def _nth(sources: DataFrame) -> DataFrame:
+    """sources with nth, their place in code point order, null last."""
+    return running_sum(sources.withColumn("one", F.lit(1).cast("long")), [], [F.col("source").asc_nulls_last()], "one", "nth").drop("one")
+
+
+def _scheduled(share: Column, schedules: Sequence[Schedule]) -> Column:
+    """The training time of a share of a source's words, by the source's nth."""
+    time = F.lit(None).cast("double")
+    for i, schedule in enumerate(schedules):
+        time = F.when(F.col("nth") % len(schedules) == i, time_of(share, schedule)).otherwise(time)
+    return F.round(time, 9)
+
+
+def mix_order(mixed: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", schedules=SCHEDULES) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The order of a mix whose rows have lost it, as files have none: its different rows, once each,
+    with added columns; and (those columns, copy, position) for each row of the mix; and their names.
+
+    Rows of a source are lined up as mix_plan() does, first copies first, and the schedule's integral
+    is inverted at the words before each. That is the mix's own order within each source, and its
+    training times up to the words that were rounded to whole texts. Null keys, texts and sources count
+    as values; rows without words stand where their keys put them; an empty mix gives none.
+    """
+    marked, free = _marked(mixed, text, source, key)
+    named = {f"{free}k{i}": F.col(c) for i, c in enumerate((key, f"{free}print", f"{free}rest", source))}
+    marked = marked.withColumns(named)
+    keys = list(named)
+    items = cut(marked.groupBy(*keys, F.col(f"{free}size").alias("size")).agg(F.count("*").alias("times")))
+    totals = items.groupBy(F.col(keys[3]).alias("source")).agg(F.sum(F.col("size") * F.col("times")).alias("due"))
+    sources = cut(_nth(cut(totals)))
+    slots = items.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    order = [F.col("copy"), F.md5(F.col(keys[0]).cast("string")), *(F.col(k) for k in keys[:3]), F.col("size")]
+    lined = running_sum(slots, [keys[3]], order, "size", "start").join(hinted(sources, sources.count()), F.col(keys[3]).eqNullSafe(F.col("source")))
+    share = F.when(F.col("due") > 0, F.col("start") / F.col("due")).otherwise(F.lit(0.0))
+    return marked.dropDuplicates(keys), lined.select(*keys, "copy", _scheduled(share, schedules).alias("position")), keys
+
+
 def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:
     """The mix itself: whole rows of docs, each as often as it is taken, sorted by position.
 
     A pass that takes less than half of a row's words leaves the row out, else takes all of it, so no
     text is cut. Rows without words are not taken.
     """
-    free, others = free_prefix(docs), [c for c in docs.columns if c not in (text, source, key)]
+    marked, free = _marked(docs, text, source, key)
     size, print_, rest, at, repeats = (free + x for x in ("size", "print", "rest", "at", "repeats"))
-    marked = docs.withColumn(size, word_count(F.col(text))).withColumn(print_, F.md5(F.col(text))).withColumn(rest, F.md5(F.to_json(F.struct(*others))) if others else F.lit(""))
     keys = [key, print_, rest]
     plan = mix_plan(marked.select(*keys, source, size), keys, size, source, **options)
     whole = F.filter(F.arrays_zip("times", "positions"), lambda x: 2 * x["times"] > F.col(size))

@@ -2,8 +2,8 @@
 
 Rule failures are summed by host (a document's source). A host's failure rate is shrunk towards that
 of all documents by a beta prior fitted to the hosts by moments, so that a host of few documents needs
-more than bad luck to be judged. Documents of hosts whose shrunk rate is over a limit go, with those
-that fail the base rules themselves.
+more than bad luck to be judged. Documents of hosts whose shrunk rate is over a limit that follows from
+the prior go, with those that fail the base rules themselves.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ MAX_REPEAT_PERCENT = 20
 #: Further rules, of which a failure counts against the host only: symbols and repeated lines per
 #: hundred words and lines, mean length of words.
 MAX_SYMBOL_PERCENT, MAX_DUP_LINE_PERCENT, MEAN_WORD = 10, 30, (2, 14)
-#: A host is bad if its shrunk failure rate is over this.
-MAX_HOST_RATE = 0.5
+#: A host is bad if its shrunk failure rate is over so many standard deviations of the prior above its
+#: mean, and over so many times the mean; a limit under the least rate or over the most is put there.
+DEVIATIONS, TIMES_MEAN, MIN_HOST_RATE, MAX_HOST_RATE = 2.0, 2.0, 0.3, 0.5
 #: Bounds of the prior's strength in documents, and the strength where hosts don't show one.
 STRENGTH, UNKNOWN_STRENGTH = (1.0, 10_000.0), 20.0
 
@@ -78,10 +79,11 @@ def any_failed(f: Column) -> Column:
     return base_failed(f) | symbols | lines | length
 
 
-def host_rates(judged: DataFrame, host: str, failed: str) -> tuple[DataFrame, int]:
-    """host, host_docs, host_failed and host_rate (shrunk) by host, and the number of hosts.
+def host_rates(judged: DataFrame, host: str, failed: str, max_rate: float = MAX_HOST_RATE) -> tuple[DataFrame, float]:
+    """host, host_docs, host_failed and host_rate (shrunk) by host, and the rate over which a host is bad.
 
-    Null is a host of its own. The sums are partial before they are shuffled; only the prior's six
+    The prior tells what rates hosts have: its mean m is all documents' rate, its standard deviation
+    the root of m (1 - m) / (strength + 1). Null is a host of its own. The sums are partial before they are shuffled; only the prior's six
     sums come to the driver.
     """
     hosts = cut(judged.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("host_docs"), F.sum(F.col(failed).cast("long")).alias("host_failed")))
@@ -98,7 +100,8 @@ def host_rates(judged: DataFrame, host: str, failed: str) -> tuple[DataFrame, in
         likeness = (among - inside) / below if below > 0 else 0.0
         strength = STRENGTH[1] if likeness <= 0 else min(max(1 / likeness - 1, STRENGTH[0]), STRENGTH[1])
     rate = (k + F.lit(mean * strength)) / (n + F.lit(strength))
-    return hosts.withColumn("host_rate", rate), s["hosts"]
+    spread = (mean * (1 - mean) / (strength + 1)) ** 0.5
+    return hosts.withColumn("host_rate", rate), min(max_rate, max(MIN_HOST_RATE, TIMES_MEAN * mean, mean + DEVIATIONS * spread))
 
 
 def judge_documents(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", max_rate: float = MAX_HOST_RATE) -> DataFrame:
@@ -111,19 +114,26 @@ def judge_documents(docs: DataFrame, text: str = "text", host: str = "source", k
     f = F.col("f")
     slim = docs.select(F.col(key).alias("key"), F.col(host).alias("host"), features(F.col(text)).alias("f"))
     counts = cut(slim.select("key", "host", *(f[c].alias(c) for c in FEATURES), base_failed(f).alias("base_failed"), any_failed(f).alias("failed")))
-    hosts, n = host_rates(counts, "host", "failed")
-    joined = counts.join(hinted(hosts.withColumnRenamed("host", "h"), n), F.col("host").eqNullSafe(F.col("h")), "left")
-    kept = ~F.col("base_failed") & (F.col("host_rate") <= max_rate)
+    hosts, limit = host_rates(counts, "host", "failed", max_rate)
+    joined = counts.join(hinted(hosts.withColumnRenamed("host", "h"), hosts.count()), F.col("host").eqNullSafe(F.col("h")), "left")
+    kept = ~F.col("base_failed") & (F.col("host_rate") <= limit)
     return joined.select(F.col("key").alias(key), *FEATURES, "base_failed", kept.alias("kept"), "host_docs", "host_failed", "host_rate")
 
 
 def keep_documents(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The rows of docs, all columns, that judge_documents() keeps. Texts are read twice and never
-    shuffled."""
-    hosts, n = host_rates(docs.select(F.col(host).alias("host"), any_failed(features(F.col(text))).alias("failed")), "host", "failed")
-    bad, name = hosts.where(F.col("host_rate") > max_rate), free_name(docs, "bad_host")
-    kept = docs.where(~base_failed(features(F.col(text))))
-    return kept.join(hinted(bad.select(F.col("host").alias(name)), n), F.col(host).eqNullSafe(F.col(name)), "left_anti")
+    """The rows of docs, all columns, that judge_documents() keeps.
+
+    Each text is judged once: rows are written with their two marks. Texts are shuffled only where the
+    bad hosts are too many to broadcast.
+    """
+    failed, base, name = (free_name(docs, x) for x in ("any_failed", "base_failed", "bad_host"))
+    found = free_name(docs, "found")
+    marked = docs.withColumn(found, features(F.col(text))).withColumns({base: base_failed(F.col(found)), failed: any_failed(F.col(found))}).drop(found)
+    marked = cut(marked)
+    hosts, limit = host_rates(marked.select(F.col(host).alias("host"), F.col(failed).alias("failed")), "host", "failed", max_rate)
+    bad = cut(hosts.where(F.col("host_rate") > limit).select(F.col("host").alias(name)))
+    kept = marked.where(~F.col(base)).drop(base, failed)
+    return kept.join(hinted(bad, bad.count()), F.col(host).eqNullSafe(F.col(name)), "left_anti")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,10 +182,12 @@ words_ AS (
     WHEN among <= inside THEN {STRENGTH[1]}
     ELSE least(greatest((among + (size - 1) * inside) / (among - inside) - 1, {STRENGTH[0]}), {STRENGTH[1]}) END AS strength
   FROM spread_
+), limit_ AS (
+  SELECT *, least({MAX_HOST_RATE}, greatest({MIN_HOST_RATE}, {TIMES_MEAN} * mean, mean + {DEVIATIONS} * sqrt(mean * (1 - mean) / (strength + 1)))) AS most FROM prior_
 ), judged AS (
   SELECT f.*, h.host_docs, h.host_failed, (h.host_failed + mean * strength) / (h.host_docs + strength) AS host_rate,
-         NOT base_failed AND (h.host_failed + mean * strength) / (h.host_docs + strength) <= {MAX_HOST_RATE} AS kept
-  FROM failed_ f JOIN hosts_ h ON f.source IS NOT DISTINCT FROM h.host CROSS JOIN prior_
+         NOT base_failed AND (h.host_failed + mean * strength) / (h.host_docs + strength) <= most AS kept
+  FROM failed_ f JOIN hosts_ h ON f.source IS NOT DISTINCT FROM h.host CROSS JOIN limit_
 )"""
 
 OP4_SQL = f"""WITH {JUDGED_SQL}

@@ -3,7 +3,7 @@
 Quality rules drop what they reject; of each class of near duplicates one document stays; secrets are
 masked; sources are mixed to their target weights, which repeats or leaves out documents; what is left
 is encoded. Each stage takes (spark, docs, sf_dir), works on all of docs, and returns the columns of
-documents, the last the codes. Texts are whole throughout.
+documents, the last the codes and their places in training. Texts are whole throughout.
 
 Null texts, keys and sources, repeated rows, other columns and empty tables are treated as the stages'
 operators say: null texts fail the quality rules.
@@ -12,30 +12,45 @@ operators say: null texts fail the quality rules.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chronoloom.llm import bpe, mixing, near_dup, quality_rules, secrets
 from chronoloom.llm.common import cut, read
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of docs that pass the base rules and are not of a bad host. Null texts fail."""
     return quality_rules.keep_documents(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of alike texts the row of the smallest doc_id; rows of null text all stay."""
     return near_dup.keep_one(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, their secrets masked. Null texts stay null."""
     return secrets.mask_secrets(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as their source's share takes them, whole. Rows without words are left out."""
     return mixing.mix_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and ids of each row, in the mix's order within each file."""
-    return bpe.encode_documents(docs, bpe.production_path()).select("doc_id", "ids")
+    """doc_id, ids, copy (from 0) and position (training time, 0 to 1) of each row of the mix.
+
+    Files keep no order, so the position says where in training a row stands. Rows that the mix
+    repeats are encoded once. Null texts have no ids.
+    """
+    rows, places, keys = mixing.mix_order(docs)
+    key = f"{keys[0]}s"
+    encoded = bpe.encode_documents(rows.withColumn(key, F.struct("doc_id", *keys)), bpe.production_path(), key=key)
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(f"{key}.{k}").eqNullSafe(F.col(k))
+    return encoded.join(places, same).select(F.col(f"{key}.doc_id").alias("doc_id"), "ids", "copy", "position")
 
 
 STAGES = [

@@ -26,13 +26,26 @@ def test_run_is_the_operators_in_order(spark, sf_dir):
     masked = {r["doc_id"]: r["text"] for r in secrets.mask_secrets(docs).collect()}
     taken = {r["doc_id"]: (r["taken"], r["size"]) for r in mixing.mix_sources(secrets.mask_secrets(docs)).collect()}
     library = Tokenizer.from_file(bpe.production_path())
-    got = {}
+    got, places = {}, {}
     for r in corpus_pipeline.run(spark, sf_dir).collect():
         got.setdefault(r["doc_id"], []).append(r["ids"])
+        places[r["doc_id"], r["copy"]] = r["position"]
     assert set(got) <= set(masked)
     for i, ids in got.items():
         assert all(x == library.encode(masked[i], add_special_tokens=False).ids for x in ids)
     assert all(abs(len(got.get(i, [])) - t / s) <= 0.5 for i, (t, s) in taken.items())
+    assert set(places) == {(i, c) for i, ids in got.items() for c in range(len(ids))}
+    planned = {(r["doc_id"], c): r[p] for r in mixing.mix_sources(secrets.mask_secrets(docs)).collect() for c, p in ((0, "position"), (1, "second_position"))}
+    sources = {r["doc_id"]: r["source"] for r in docs.select("doc_id", "source").collect()}
+    largest = {}
+    for i, (_, size) in taken.items():
+        largest[sources[i]] = max(largest.get(sources[i], 0), size)
+    due = {sources[r["doc_id"]]: r["target"] for r in mixing.mix_sources(secrets.mask_secrets(docs)).collect()}
+    # Up to the words by which whole texts miss the target; a schedule's weight is no less than a half.
+    assert all(abs(p - planned[x]) <= 2 * largest[sources[x[0]]] / due[sources[x[0]]] for x, p in places.items())
+    for source in set(sources.values()):
+        own = [x for x in places if sources[x[0]] == source]
+        assert sorted(own, key=places.get) == sorted(own, key=planned.get)
 
 
 @pytest.mark.parametrize("stage", range(5))

@@ -49,6 +49,18 @@ def test_bad_hosts_take_their_documents_along(spark):
     assert {r[0] for r in kept} == {i for i, r in got.items() if r["kept"]}
 
 
+def test_the_query_rejects_a_planted_host(spark, tmp_path):
+    """Under half of its documents fail, but far more than of other hosts; the limit is the prior's."""
+    rows = [(h * 1000 + i, "bad" if i % (20 + h) == 0 else GOOD.format(i), f"host{h}") for h in range(12) for i in range(100)]
+    rows += [(90_000 + i, "bad" if i % 20 < 9 else GOOD.format(i), "planted") for i in range(100)] + [(95_000, GOOD, None)]
+    d = saved(spark, tmp_path, documents=docs_of(spark, rows))
+    judged = q.op4_quality_rules(spark, d).collect()
+    rejected = {r["doc_id"] for r in judged if not r["kept"] and not r["base_failed"]}
+    assert rejected == {i for i, t, s in rows if s == "planted" and t != "bad"} and len(rejected) == 55
+    assert 0.3 < next(r["host_rate"] for r in judged if r["doc_id"] == 90_000) < 0.5
+    assert rows_of(q.op4_quality_rules(spark, d)) == sql_rows(q.OP4_SQL, d)
+
+
 def test_clean_documents_stay(spark):
     rows = [(i, GOOD.format(i), f"h{i % 7}") for i in range(70)]
     assert all(r["kept"] for r in q.judge_documents(docs_of(spark, rows)).collect())
