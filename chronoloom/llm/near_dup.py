@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, discard, free_prefix, read, running_sum
+from .common import BROADCAST_ROWS, cut, discard, free_prefix, hinted, read, running_sum
 
 SHINGLE = 5
 #: Bands, and minima in each. Of texts alike to the limit (every ninth word another) some 0.38 of the
@@ -222,7 +222,10 @@ def _may_be_alike() -> Column:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) that are alike."""
+    """Those of pairs (a, b), a written table, that are alike.
+
+    Texts are shuffled twice for it: only those that are in a pair, where a broadcast may name them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -234,6 +237,9 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep.append(alike(words_of(x.as_py()), last[1]))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct())
+    if ends.count() <= BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(ends), "print", "left_semi")
     joined = pairs.join(texts.select(F.col("print").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("print").alias("b"), F.col("text").alias("tb")), "b")
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
@@ -352,8 +358,9 @@ def _rare_pairs(large: DataFrame, texts: DataFrame) -> DataFrame:
     Texts are grouped by each of their rarest words; groups are cut into blocks in the order of labels,
     and each two blocks, but those of one and the same label, are a key of the join.
     """
-    held = large.select("print", "label").distinct()
-    own = cut(texts.join(held, "print"))
+    held = cut(large.select("print", "label").distinct())
+    n_held = held.count()
+    own = cut(texts.join(hinted(held, n_held), "print"))
     known, counts = _frequent(own.select("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,7 +380,7 @@ def _rare_pairs(large: DataFrame, texts: DataFrame) -> DataFrame:
 
     rare = own.select("print", "text").mapInArrow(run, "print binary, h bigint, place bigint, rarer array<bigint>")
     sizes = cut(rare.groupBy("h").agg(F.count("*").alias("size")).where(F.col("size") > 1))
-    dealt = cut(rare.join(sizes, "h").join(own.drop("text"), "print"))
+    dealt = cut(rare.join(sizes, "h").join(hinted(own.drop("text"), n_held), "print"))
     few, many = dealt.where(F.col("size") <= BLOCK), dealt.where(F.col("size") > BLOCK)
     numbered = running_sum(many.withColumn("one", F.lit(1)), ["h"], [F.col("label"), F.col("print")], "one", "at")
     placed = cut(numbered.withColumn("block", F.floor(F.col("at") / BLOCK)).drop("at", "one"))
@@ -404,11 +411,12 @@ def _labels(members: DataFrame, texts: DataFrame) -> DataFrame | None:
     hubs = members.join(drawn, "print").groupBy("bucket").agg(F.max_by("print", F.struct("drawn", "print")).alias("hub"))
     with_hub = cut(members.join(hubs, "bucket"))
     to_hub = with_hub.where(F.col("print") != F.col("hub")).select(F.col("print").alias("a"), F.col("hub").alias("b")).distinct()
-    labels = _merged(None, cut(_verified(to_hub, texts)))
+    labels = _merged(None, cut(_verified(cut(to_hub), texts)))
     mixed = _mixed(with_hub, labels)
     discard(with_hub)
     large = mixed.where(F.col("size") > SMALL)
-    labels = _merged(labels, cut(_verified(_small_pairs(mixed, texts).unionByName(_second_hubs(large)).distinct(), texts)))
+    further = cut(_small_pairs(mixed, texts).unionByName(_second_hubs(large)).distinct())
+    labels = _merged(labels, cut(_verified(further, texts)))
     left = _mixed(large.drop("label"), labels)
     discard(mixed)
     if left.isEmpty():
@@ -416,6 +424,17 @@ def _labels(members: DataFrame, texts: DataFrame) -> DataFrame | None:
     return _merged(labels, cut(_verified(_rare_pairs(left, texts), texts)))
 
 
+def _rows_of(docs: DataFrame, wanted: DataFrame, same: Column, times: str = "n_first") -> tuple[DataFrame, DataFrame]:
+    """Rows of docs that wanted, a written table, names once by ``times``, and those that it names repeatedly.
+
+    The first grow with docs and are joined by shuffle at every size. Few are repeated, and then broadcast,
+    so that whole texts are shuffled once.
+    """
+    often = wanted.where(F.col(times) > 1)
+    single = docs.join(wanted.where(F.col(times) == 1).hint("merge"), same, "left_semi")
+    return single, docs.join(hinted(often, often.count()), same, "left_semi")
+
+
 def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of (doc_id, text), text not null: doc_id and print by row; and by print, the text's MD5: first
     (a struct that orders its keys, null last: without, key), n_first (its rows of that key), n (its
@@ -428,11 +447,12 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     buckets = one.select("print", F.posexplode("sketches").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "print")
     members = _members(buckets)
     wanted = members.select("print").distinct().join(nodes.select("print", F.col("first.key").alias("key"), "n_first"), "print").withColumnRenamed("print", "p")
+    wanted = cut(wanted)
     printed = docs.withColumn("print", F.unhex(F.md5("text")))
     same = F.col("doc_id").eqNullSafe(F.col("key")) & (F.col("print") == F.col("p"))
-    single = printed.join(wanted.where(F.col("n_first") == 1), same, "left_semi").select("print", "text")
-    repeated = printed.join(wanted.where(F.col("n_first") > 1), same, "left_semi").select("print", "text").dropDuplicates(["print"])
-    texts = cut(_texts(single.unionByName(repeated)))
+    single, repeated = _rows_of(printed, wanted, same)
+    texts = cut(_texts(single.unionByName(repeated.dropDuplicates(["print"])).select("print", "text")))
+    discard(wanted)
     labels = _labels(members, texts)
     discard(members, texts)
     rows = rows.drop("sketches")
@@ -469,12 +489,11 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     _, labelled = _labelled(slim.where(F.col("text").isNotNull()))
     free = free_prefix(docs)
-    chosen = labelled.groupBy("label").agg(F.min(F.struct("first", "print", "n_first")).alias("c")).select(F.col("c.first.key").alias(f"{free}key"), F.col("c.print").alias(f"{free}print"), "c.n_first")
+    chosen = labelled.groupBy("label").agg(F.min(F.struct("first", "print", "n_first")).alias("c")).select(F.col("c.first.key").alias(f"{free}key"), F.col("c.print").alias(f"{free}print"), F.col("c.n_first").alias(f"{free}n"))
     same = F.col(key).eqNullSafe(F.col(f"{free}key")) & (F.unhex(F.md5(F.col(text))) == F.col(f"{free}print"))
     without = docs.where(F.col(text).isNull())
-    single = docs.join(chosen.where(F.col("n_first") == 1).drop("n_first"), same, "left_semi")
-    repeated = docs.join(chosen.where(F.col("n_first") > 1).drop("n_first"), same, "left_semi").dropDuplicates([key, text])
-    return single.unionByName(repeated).unionByName(without)
+    single, repeated = _rows_of(docs, cut(chosen), same, f"{free}n")
+    return single.unionByName(repeated.dropDuplicates([key, text])).unionByName(without)
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
