@@ -19,8 +19,23 @@ from pyspark.sql import functions as F
 
 from .common import read
 
-STRICT = ("casino", "cialis", "malware", "phishing", "porn", "spam", "viagra", "warez", "xxx")
-SOFT = ("bet", "bonus", "cheap", "cracked", "farm", "free-download", "jackpot", "keygen", "loan", "pharmacy", "pills", "poker", "replica", "rolex", "torrent", "weight-loss")
+#: Terms that reject by themselves: they name what hardly anything else is called.
+STRICT = (
+    "casino", "casinos", "sportsbook", "blackjack", "baccarat", "roulette",
+    "cialis", "levitra", "tramadol", "viagra", "xanax",
+    "malware", "phishing", "ransomware", "spam", "warez", "crackz", "serialz",
+    "camgirl", "camgirls", "hentai", "porn", "porno", "pornos", "xxx",
+)
+#: Terms that innocent urls have too, of which it takes several; plurals beside singulars, as a hit is a whole word.
+SOFT = (
+    "bet", "bets", "betting", "bingo", "bonus", "bonuses", "gambling", "jackpot", "jackpots", "lottery", "odds", "poker", "slot", "slots", "win", "winner",
+    "pharmacy", "pharmacies", "pill", "pills", "diet", "slimming", "weight-loss", "prescription",
+    "ad", "ads", "adserver", "affiliate", "banner", "banners", "clicks", "popup", "track", "tracker", "tracking", "traffic",
+    "adult", "adults", "dating", "escort", "escorts", "hookup", "nude", "nudes", "sex", "sexy", "webcam",
+    "crack", "cracked", "free-download", "keygen", "keygens", "nulled", "serials", "torrent", "torrents",
+    "bargain", "cheap", "cheapest", "discount", "discounts", "free", "replica", "replicas", "rolex",
+    "cash", "credit", "loan", "loans", "payday", "farm", "farms",
+)
 SOFT_LIMIT = 2
 
 

@@ -51,3 +51,13 @@ def test_no_terms_no_rules_no_rows(spark):
 def test_nulls_repeats_and_clashing_columns(spark):
     pages = spark.createDataFrame([(None, "http://a.fr/", "x", 1)] * 2, "page_id long, url string, verdict string, host int")
     assert [(r["page_id"], r["verdict"]) for r in u.filter_urls(pages).collect()] == [(None, "allow")] * 2
+
+
+BAD = ("free-bets", "ads-track", "sexy-webcam", "payday-loans", "online-casinos", "cheap-replicas", "poker.slots", "x/keygens/torrents", "x/adult%2Ddating", "diet_pills")
+CLEAN = ("track-record", "freedom-betterment", "adult-education", "credit-union", "essex-farms", "pharmacology", "win32-docs", "x/casinoesque", "x/pillow-fort", "x/advert-slotted")
+
+
+def test_vocabulary_on_hosts_of_words_plurals_and_compounds(spark):
+    urls = [f"http://{x}.fr/" if "/" not in x else f"http://{x}" for x in (*BAD, *CLEAN)]
+    got = {r["page_id"]: r["verdict"] for r in u.filter_urls(pages_of(spark, urls)).collect()}
+    assert [got[i] for i in range(len(urls))] == ["block"] * len(BAD) + ["allow"] * len(CLEAN)
