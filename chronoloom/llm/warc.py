@@ -27,7 +27,9 @@ PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "la
 TRACKING = r"(utm_[^=]*|ref|fbclid|gclid)(=.*)?"
 
 HEADERS = "array<struct<name:string,value:string>>"
-RECORDS = f"record_id string, kind string, url string, date string, status int, headers {HEADERS}, payload binary"
+RECORDS = f"record_id string, kind string, url string, date string, digest string, profile string, status int, headers {HEADERS}, payload binary"
+#: How the profile of a revisit that holds a 304 answer ends.
+NOT_MODIFIED = "server-not-modified"
 
 
 def canonical_url(url: Column) -> Column:
@@ -58,7 +60,10 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     """For each revisit: record_id, url, canonical_url, ts, response_id, outcome and headers.
 
     records: record_id, url, ts (any orderable type), kind ('response' or 'revisit'; rows of other
-    kinds take no part), headers and digest. outcome is 'resolved', 'mismatch' (the latest earlier
+    kinds take no part), headers and digest, and status and profile if there are such columns, as
+    read_warc() has them. A response of a status other than 200 to 299, or of 206, isn't full and takes
+    no part, nor does a revisit of another profile than not-modified; a null status or profile is taken
+    for a full response and for not-modified. outcome is 'resolved', 'mismatch' (the latest earlier
     response has other validators), 'unverified' (nothing to compare) or 'orphan' (no earlier
     response, or the revisit's url or ts is null). headers are merged where resolved, else the
     revisit's own. Among responses of one url and time the greatest record_id counts as latest (null
@@ -68,7 +73,13 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     carries the last response on; a range that begins inside a url gets it from the last earlier
     range with one. So a hot url spreads over many tasks.
     """
-    kinds = records.select("record_id", "url", "ts", "kind", "headers", "digest").where(F.col("kind").isin("response", "revisit"))
+    full, unmodified = F.lit(True), F.lit(True)
+    if "status" in records.columns:
+        full = F.coalesce(F.col("status").between(200, 299) & (F.col("status") != 206), full)
+    if "profile" in records.columns:
+        unmodified = F.coalesce(F.col("profile").endswith(NOT_MODIFIED), unmodified)
+    part = ((F.col("kind") == "response") & full) | ((F.col("kind") == "revisit") & unmodified)
+    kinds = records.where(part).select("record_id", "url", "ts", "kind", "headers", "digest")
     keyed = kinds.withColumn("canonical_url", canonical_url(F.col("url")))
     alone = keyed.where((F.col("kind") == "revisit") & (F.col("canonical_url").isNull() | F.col("ts").isNull()))
     timed = keyed.where(F.col("canonical_url").isNotNull() & F.col("ts").isNotNull())
@@ -165,7 +176,7 @@ def parse_warc(data: bytes) -> Iterator[dict]:
 
 
 def _gap(lost: list[bytes]) -> dict:
-    return {"record_id": None, "kind": "skipped", "url": None, "date": None, "status": None, "headers": [], "payload": b"".join(lost)}
+    return {"record_id": None, "kind": "skipped", "url": None, "date": None, "digest": None, "profile": None, "status": None, "headers": [], "payload": b"".join(lost)}
 
 
 def _stretch(source) -> Iterator[dict]:
@@ -224,7 +235,7 @@ def _record(fields: dict[str, str], block: bytes) -> dict:
         status = int(first[1]) if len(first) > 1 and first[1].isdigit() else None
         headers = [{"name": n, "value": v} for n, v in _fields(source)]
         payload = source.read()
-    return {"record_id": fields.get("warc-record-id"), "kind": kind, "url": fields.get("warc-target-uri"), "date": fields.get("warc-date"), "status": status, "headers": headers, "payload": payload}
+    return {"record_id": fields.get("warc-record-id"), "kind": kind, "url": fields.get("warc-target-uri"), "date": fields.get("warc-date"), "digest": fields.get("warc-payload-digest"), "profile": fields.get("warc-profile"), "status": status, "headers": headers, "payload": payload}
 
 
 def format_record(record: dict) -> bytes:
@@ -233,14 +244,16 @@ def format_record(record: dict) -> bytes:
     if record.get("status") is not None:
         lines = [f"HTTP/1.1 {record['status']}", *(f"{h['name']}: {h['value']}" for h in record.get("headers") or ())]
         block = ("\r\n".join(lines) + "\r\n\r\n").encode() + block
-    fields = {"WARC-Type": record.get("kind"), "WARC-Record-ID": record.get("record_id"), "WARC-Target-URI": record.get("url"), "WARC-Date": record.get("date"), "Content-Length": len(block)}
+    fields = {"WARC-Type": record.get("kind"), "WARC-Record-ID": record.get("record_id"), "WARC-Target-URI": record.get("url"), "WARC-Date": record.get("date"), "WARC-Payload-Digest": record.get("digest"), "WARC-Profile": record.get("profile"), "Content-Length": len(block)}
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items() if v is not None)
     return gzip.compress(head.encode() + b"\r\n" + block + b"\r\n\r\n", mtime=0)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all WARC files under path, and rows of kind 'skipped' of what is none. A task holds one compressed file at a time."""
-    schema = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("url", pa.string()), ("date", pa.string()), ("status", pa.int32()), ("headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("payload", pa.binary())])
+    """The records of all WARC files under path, as resolve_revisits() takes them, and rows of kind
+    'skipped' of what is none. ts is the date as a timestamp, null where it isn't one. A task holds one
+    compressed file at a time."""
+    schema = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("url", pa.string()), ("date", pa.string()), ("digest", pa.string()), ("profile", pa.string()), ("status", pa.int32()), ("headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("payload", pa.binary())])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,62 +267,87 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                         held, size = [], 0
                 yield pa.RecordBatch.from_pylist(held, schema)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, RECORDS)
+    records = spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, RECORDS)
+    return records.withColumn("ts", F.try_to_timestamp("date"))
 
 
 # The production query: pages as a crawl
 
 
-def page_records(pages: DataFrame, revisit_after: int = 5_000) -> DataFrame:
-    """Two records for each page: its full response at time page_id, and a 304 to a conditional
-    request ``revisit_after`` later that bears the page's entity tag."""
-    etag = F.concat(F.lit('"'), F.md5("html"), F.lit('"'))
+#: Times between a page's records in the production query.
+STEP = 5_000
+
+
+def page_records(pages: DataFrame, step: int = STEP) -> DataFrame:
+    """Four records for each page: a full response at time page_id, a 304 with its entity tag a step
+    later, a response of other content and tag after two steps, and after three once more a 304 with
+    the first tag, from a client that missed the change. Other pages of a canonical url come between.
+
+    A null page_id gives records without a time, a null html ones without tags; repeated rows give
+    repeated records.
+    """
+    tags = [F.concat(F.lit('"'), F.md5(html), F.lit('"')) for html in (F.col("html"), F.concat("html", F.lit(".")))]
+    ts = [F.col("page_id") + i * step for i in range(4)]
 
     def headers(**values: Column) -> Column:
         pairs = [F.struct(F.lit(k.replace("_", "-")).alias("name"), v.cast("string").alias("value")) for k, v in values.items()]
         return F.filter(F.array(*pairs), lambda h: h["value"].isNotNull())
 
-    full = headers(content_type=F.lit("text/html"), content_length=F.octet_length("html"), date=F.col("page_id"), etag=etag, cache_control=F.lit("max-age=60"))
-    bare = headers(content_type=F.lit("text/plain"), date=F.col("page_id") + revisit_after, etag=etag, cache_control=F.lit("no-cache"))
-    base = pages.select(F.col("page_id").alias("record_id"), "url", F.col("page_id").alias("first_ts"), full.alias("full"), bare.alias("bare"))
-    records = F.array(
-        F.struct(F.col("first_ts").alias("ts"), F.lit("response").alias("kind"), F.col("full").alias("headers")),
-        F.struct((F.col("first_ts") + revisit_after).alias("ts"), F.lit("revisit").alias("kind"), F.col("bare").alias("headers")),
-    )
-    return base.select("record_id", "url", F.inline(records)).withColumn("digest", F.lit(None).cast("string"))
+    def full(i: int, size: Column, tag: str) -> Column:
+        return headers(content_type=F.lit("text/html"), content_length=size, date=ts[i], etag=F.col(tag), cache_control=F.lit("max-age=60"))
+
+    def bare(i: int) -> Column:
+        return headers(content_type=F.lit("text/plain"), date=ts[i], etag=F.col("tag0"), cache_control=F.lit("no-cache"))
+
+    tagged = pages.select("page_id", "url", F.octet_length("html").alias("size"), tags[0].alias("tag0"), tags[1].alias("tag1"))
+    parts = [("response", full(0, F.col("size"), "tag0")), ("revisit", bare(1)), ("response", full(2, F.col("size") + 1, "tag1")), ("revisit", bare(3))]
+    records = F.array(*(F.struct(ts[i].alias("ts"), F.lit(kind).alias("kind"), h.alias("headers")) for i, (kind, h) in enumerate(parts)))
+    return tagged.select(F.col("page_id").alias("record_id"), "url", F.inline(records)).withColumn("digest", F.lit(None).cast("string"))
 
 
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, visit (its time), canonical_url, response_page_id, outcome and headers of each revisit.
+
+    Where two responses of a canonical url have one time, that of the greater page_id is the latest.
+    """
     done = resolve_revisits(page_records(read(spark, sf_dir, "pages").select("page_id", "url", "html")))
     joined = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "\n")
-    return done.select(F.col("record_id").alias("page_id"), "canonical_url", F.col("response_id").alias("response_page_id"), "outcome", joined.alias("headers"))
+    return done.select(F.col("record_id").alias("page_id"), F.col("ts").alias("visit"), "canonical_url", F.col("response_id").alias("response_page_id"), "outcome", joined.alias("headers"))
 
 
 OP8_SQL = f"""
 WITH bare AS (
   SELECT page_id, html, regexp_replace(regexp_replace(url, '#.*', '', 's'), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM pages
 ), keyed AS (
-  SELECT page_id, octet_length(encode(html)) AS size, '"' || md5(html) || '"' AS etag,
+  SELECT page_id, octet_length(encode(html)) AS size, '"' || md5(html) || '"' AS etag, '"' || md5(html || '.') || '"' AS changed,
          regexp_replace(lower(regexp_replace(regexp_extract(u, '^([^/?]*)', 1), '^.*@|:(80|443)$', '', 'g')), '^www[0-9]*\\.', '')
          || regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') AS page,
          array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1, 's'), '&'),
            lambda p: p <> '' AND NOT regexp_full_match(p, '{TRACKING}'))), '&') AS params
   FROM bare
 ), crawl AS (
-  SELECT page_id, size, etag, page || CASE WHEN params <> '' THEN '?' || params ELSE '' END AS canonical_url FROM keyed
+  SELECT page_id, size, etag, changed, page || CASE WHEN params <> '' THEN '?' || params ELSE '' END AS canonical_url FROM keyed
+), responses AS (
+  SELECT canonical_url, page_id AS ts, page_id, size, etag FROM crawl
+  UNION ALL SELECT canonical_url, page_id + {2 * STEP}, page_id, size + 1, changed FROM crawl
+), latest AS (
+  SELECT * FROM responses QUALIFY row_number() OVER (PARTITION BY canonical_url, ts ORDER BY page_id DESC) = 1
+), revisits AS (
+  SELECT page_id, canonical_url, etag, page_id + {STEP} AS ts FROM crawl
+  UNION ALL SELECT page_id, canonical_url, etag, page_id + {3 * STEP} FROM crawl
 ), answered AS (
-  SELECT r.page_id, r.canonical_url, r.etag, s.page_id AS response_page_id, s.etag AS stored, s.size
-  FROM (SELECT *, page_id + 5000 AS ts FROM crawl) r ASOF LEFT JOIN crawl s ON r.canonical_url = s.canonical_url AND r.ts > s.page_id
+  SELECT r.*, s.page_id AS response_page_id, s.etag AS stored, s.size
+  FROM revisits r ASOF LEFT JOIN latest s ON r.canonical_url = s.canonical_url AND r.ts > s.ts
 ), judged AS (
   SELECT *, CASE WHEN response_page_id IS NULL THEN 'orphan' WHEN etag = stored THEN 'resolved'
             WHEN etag <> stored THEN 'mismatch' ELSE 'unverified' END AS outcome
   FROM answered
 )
-SELECT page_id, canonical_url, response_page_id, outcome,
+SELECT page_id, ts AS visit, canonical_url, response_page_id, outcome,
        CASE WHEN outcome = 'resolved'
             THEN 'cache-control: no-cache' || chr(10) || 'content-length: ' || size || chr(10) || 'content-type: text/html' || chr(10)
-                 || 'date: ' || (page_id + 5000) || chr(10) || 'etag: ' || etag
-            ELSE 'content-type: text/plain' || chr(10) || 'date: ' || (page_id + 5000) || coalesce(chr(10) || 'etag: ' || etag, '')
+                 || 'date: ' || ts || chr(10) || 'etag: ' || etag
+            ELSE 'content-type: text/plain' || chr(10) || 'date: ' || ts || coalesce(chr(10) || 'etag: ' || etag, '')
                  || chr(10) || 'cache-control: no-cache' END AS headers
 FROM judged
 """

@@ -70,9 +70,9 @@ def test_ties_repeats_and_empty(spark):
 
 
 RECORDS = [
-    {"record_id": "<a>", "kind": "response", "url": "http://a/", "date": "2024-01-01T00:00:00Z", "status": 200, "headers": [{"name": "ETag", "value": '"1"'}], "payload": b"<html>\r\n\r\nx"},
-    {"record_id": "<b>", "kind": "revisit", "url": "http://a/", "date": "2024-01-02T00:00:00Z", "status": 304, "headers": [], "payload": b""},
-    {"record_id": "<c>", "kind": "warcinfo", "url": None, "date": None, "status": None, "headers": [], "payload": b"software: x"},
+    {"record_id": "<a>", "kind": "response", "url": "http://a/", "date": "2024-01-01T00:00:00Z", "digest": "sha1:A", "profile": None, "status": 200, "headers": [{"name": "ETag", "value": '"1"'}], "payload": b"<html>\r\n\r\nx"},
+    {"record_id": "<b>", "kind": "revisit", "url": "http://a/", "date": "2024-01-02T00:00:00Z", "digest": "sha1:A", "profile": "http://netpreserve.org/warc/1.1/revisit/server-not-modified", "status": 304, "headers": [], "payload": b""},
+    {"record_id": "<c>", "kind": "warcinfo", "url": None, "date": None, "digest": None, "profile": None, "status": None, "headers": [], "payload": b"software: x"},
 ]
 
 
@@ -85,6 +85,33 @@ def test_file_roundtrip(spark, tmp_path):
     assert [r["record_id"] for r in got] == ["<a>", "<b>", "<c>"] and bytes(got[0]["payload"]) == RECORDS[0]["payload"] and got[0]["headers"][0]["value"] == '"1"'
 
 
+def test_files_resolve(spark, tmp_path):
+    """What read_warc() gives is what resolve_revisits() takes; a part or an error isn't a full response."""
+    day = "2024-01-02T%02d:00:00Z"
+    part, gone = ({**RECORDS[0], "record_id": i, "date": day % h, "status": status, "digest": "sha1:B"} for i, h, status in (("<p>", 1, 206), ("<g>", 2, 404)))
+    late = {**RECORDS[1], "record_id": "<l>", "date": day % 3, "headers": [{"name": "Expires", "value": "0"}]}
+    same = {**RECORDS[1], "record_id": "<s>", "date": day % 4, "profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
+    timeless = {**RECORDS[1], "record_id": "<t>", "date": "yesterday"}
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(map(warc.format_record, [*RECORDS, part, gone, late, same, timeless])))
+    got = {r["record_id"]: r for r in warc.resolve_revisits(warc.read_warc(spark, str(tmp_path))).collect()}
+    assert {i: (r["response_id"], r["outcome"]) for i, r in got.items()} == {"<b>": ("<a>", "resolved"), "<l>": ("<a>", "resolved"), "<t>": (None, "orphan")}
+    assert [tuple(h) for h in got["<l>"]["headers"]] == [("ETag", '"1"'), ("Expires", "0")]
+
+
+def test_query_meets_every_outcome_and_empty_tables(spark, tmp_path):
+    """Pages of one canonical url come between a page's response and its revisits."""
+    urls = ["http://a.b/c", "http://A.b/c#x", "http://a.b/d", None]
+    rows = [(i * 1000, urls[i % 4], f"html {i // 8 % 2}" if i % 7 else None) for i in range(40)]
+    d = saved(spark, tmp_path, pages=spark.createDataFrame(rows, PAGES))
+    got = rows_of(warc.op8_warc_revisits(spark, d))
+    assert got == sql_rows(warc.OP8_SQL, d) and len(got) == 80
+    out = warc.op8_warc_revisits(spark, d).collect()
+    assert {r["outcome"] for r in out} == {"resolved", "mismatch", "unverified", "orphan"}
+    assert any(r["outcome"] == "resolved" and r["response_page_id"] != r["page_id"] for r in out)
+    d = saved(spark, tmp_path / "none", pages=spark.createDataFrame([], PAGES))
+    assert warc.op8_warc_revisits(spark, d).collect() == [] and sql_rows(warc.OP8_SQL, d) == []
+
+
 @pytest.mark.parametrize("cut", [1, 30, 200])
 def test_files_cut_off(cut):
     data = b"".join(map(warc.format_record, RECORDS))
