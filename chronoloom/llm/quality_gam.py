@@ -23,6 +23,8 @@ from .common import read
 
 #: Most labelled rows that a model is fitted on; of more, those of the smallest hashes.
 TRAIN_ROWS = 20_000
+#: Pairs of a label and a document of its key, which repeated keys multiply, that it is fitted on at most.
+TRAIN_PAIRS = 4 * TRAIN_ROWS
 #: Fold of held-out rows: crc32 of the id's text, modulo this, is 0.
 FOLDS = 5
 THRESHOLD = 0.3
@@ -121,7 +123,8 @@ def _tree(gradient: np.ndarray, hessian: np.ndarray, leaves: int) -> np.ndarray:
 
 
 def _quadrants(gradient: np.ndarray, hessian: np.ndarray) -> tuple[float, np.ndarray]:
-    """The best two-cut tree on a grid, one cut on each axis: its gain and each cell's step."""
+    """The best two-cut tree on a grid, one cut on each axis: its gain and each cell's step. Light
+    quarters count too, held down by RIDGE alone: few rows are often all that an interaction has."""
     g, h = (np.pad(x.cumsum(0).cumsum(1), ((1, 0), (1, 0))) for x in (gradient, hessian))
     n, m = gradient.shape
     best, step = -1.0, np.zeros((n, m))
@@ -198,16 +201,19 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", rows: int = TRAIN_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", rows: int = TRAIN_ROWS, pairs: int = TRAIN_PAIRS) -> Model:
     """A model of labels (key, label 0 or 1) outside the held-out fold.
 
     Other labels, null ones and keys without a document take no part. A key with several labels or
     documents gives a row for each pair.
+
+    rows: labels that are used at most, those of the smallest hashes. pairs: of them with their
+    documents, which are more only where keys repeat, again those of the smallest hashes.
     """
     fit_for = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("k")))
     sample = fit_for.orderBy(F.xxhash64("k", "y"), "k", "y").limit(rows)
     labelled = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(sample), "k")  # at most ``rows`` of two integers
-    found = _with_features(labelled.select(F.struct("k", "y").alias("ky"), "text"), "ky").select("ky.k", "ky.y", "f").orderBy("k", "y", "f").limit(4 * rows).collect()
+    found = _with_features(labelled.select(F.struct("k", "y").alias("ky"), "text"), "ky").select("ky.k", "ky.y", "f").orderBy(F.xxhash64("k", "y"), "k", "y", "f").limit(pairs).collect()
     x = np.array([r["f"] for r in found], float).reshape(len(found), len(FEATURES))
     return fit(x, np.array([r["y"] for r in found], float))
 
