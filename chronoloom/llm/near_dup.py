@@ -19,8 +19,8 @@ many buckets they are in, by their rarest words: alike texts share four fifths o
 counted, so of the rarest fifth and one more they must share one. Texts that do, are of different
 classes and have no more rarer words than the similarity allows are compared.
 
-Before any two texts are brought together, their parity tables are: each labelled word turns one of 1,024 bits
-over, so two tables differ in no more bits than the texts have words that the other lacks.
+Before two texts of which none is a hub are brought together, their parity tables are: each labelled word
+turns one of 1,024 bits over, so two tables differ in no more bits than the texts have words that the other lacks.
 """
 
 from __future__ import annotations
