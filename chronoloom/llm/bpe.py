@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 from array import array
 from collections.abc import Iterator, Sequence
@@ -41,7 +42,7 @@ SPACES = "\t-\r \x85\xa0  -     　"
 CACHED_WORDS, CACHED_LENGTH = 200_000, 64
 #: Sets of the transition table after which it starts anew, between words.
 KNOWN_SETS = 250_000
-#: Characters of decoded text after which a batch of results goes out.
+#: Characters of decoded text and bytes of ids after which a batch of results goes out.
 FLUSH = 8_000_000
 
 
@@ -89,8 +90,9 @@ class Automaton:
 class Runner:
     """The automaton over base symbols, made deterministic as far as it is used.
 
-    ``steps`` maps (set number * width + symbol) to a set number. A set is its arcs under way, as
-    (node, token before, symbols so far); ``arcs`` has the token that ends there and its length.
+    ``steps`` maps (set number * width + symbol) to a set number. A set is bytes of 32-bit integers: the
+    token that ends there and its length, then its arcs under way as (node, token before, symbols so far).
+    Tuples of tuples would take several times the memory. ``tokens`` and ``lengths`` repeat the first two.
     """
 
     def __init__(self, automaton: Automaton, most: int = KNOWN_SETS):
@@ -99,9 +101,9 @@ class Runner:
 
     def clear(self) -> None:
         self.steps: dict[int, int] = {}
-        self.sets: list[tuple[tuple[int, int, int], ...]] = [((0, -1, 0),)]
-        self.arcs: list[tuple[int, int]] = [(-1, 0)]
-        self.numbers: dict[tuple, int] = {}
+        self.sets: list[bytes] = [struct.pack("5i", -1, 0, 0, -1, 0)]
+        self.tokens, self.lengths = array("i", [-1]), array("i", [0])
+        self.numbers: dict[bytes, int] = {}
 
     def run(self, symbols: Sequence[int]) -> list[int]:
         """The tokens on the accepted path whose labels spell the symbols."""
@@ -115,34 +117,37 @@ class Runner:
             except KeyError:
                 at = steps[key] = self.step(at, s)
             path.append(at)
-        out, i, arcs = [], len(path), self.arcs
+        out, i, tokens, lengths = [], len(path), self.tokens, self.lengths
         while i:
-            token, length = arcs[path[i - 1]]
+            at = path[i - 1]
+            length = lengths[at]
             if not length:
                 raise ValueError("no accepted path")
-            out.append(token)
+            out.append(tokens[at])
             i -= length
         out.reverse()
         return out
 
     def step(self, at: int, symbol: int) -> int:
         a = self.automaton
-        under_way, arc, reached = [], (-1, 0), -1
-        for node, before, length in self.sets[at]:
+        found, reached, reached_length = array("i", [-1, 0]), -1, 0
+        for node, before, length in struct.iter_unpack("3i", memoryview(self.sets[at])[8:]):
             node = a.prefixes.get(node * a.width + symbol, 0)
             if node:
-                under_way.append((node, before, length + 1))
+                found.extend((node, before, length + 1))
                 token = a.labelled.get(node)
                 if token is not None and reached < 0 and a.allowed(before, token):
-                    arc, reached = (token, length + 1), token
+                    reached, reached_length = token, length + 1
         if reached >= 0:
-            under_way.append((0, reached, 0))
-        known = tuple(under_way), arc
+            found.extend((0, reached, 0))
+            found[0], found[1] = reached, reached_length
+        known = found.tobytes()
         number = self.numbers.get(known)
         if number is None:
             number = self.numbers[known] = len(self.sets)
-            self.sets.append(known[0])
-            self.arcs.append(arc)
+            self.sets.append(known)
+            self.tokens.append(reached)
+            self.lengths.append(reached_length)
         return number
 
 
@@ -184,9 +189,10 @@ class Vocabulary:
     last: list[int]
     _encoder: Encoder | None = None
 
-    def encoder(self) -> Encoder:
+    def encoder(self, decoded: bool = True) -> Encoder:
         """Kept with the vocabulary, so that a worker's later tasks find the words it knows."""
-        self._encoder = self._encoder or Encoder(self)
+        if self._encoder is None or self._encoder.decoded != decoded:
+            self._encoder = Encoder(self, decoded)
         return self._encoder
 
 
@@ -252,11 +258,12 @@ class Splitter:
 class Encoder(dict):
     """Words to (ids as 32-bit integers' bytes, decoded text), of which a bounded number of short ones
     are kept: those met since the last change of generations, and, in ``older``, those of the one
-    before. Bytes and strings, unlike lists, cost the garbage collector nothing."""
+    before. Bytes and strings, unlike lists, cost the garbage collector nothing. Without ``decoded``
+    all decoded texts are empty."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, decoded: bool = True):
         super().__init__()
-        self.v = vocabulary
+        self.v, self.decoded = vocabulary, decoded
         self.older: dict[str, tuple[bytes, str]] = {}
         self.runner = Runner(vocabulary.automaton)
         self.words = Splitter(vocabulary.pattern)
@@ -276,7 +283,7 @@ class Encoder(dict):
         symbols = list(map(self.v.inner.__getitem__, data))
         symbols[-1] = self.v.last[data[-1]]
         ids = self.runner.run(symbols)
-        return array("i", ids).tobytes(), " ".join(map(self.v.labels.__getitem__, ids))
+        return array("i", ids).tobytes(), " ".join(map(self.v.labels.__getitem__, ids)) if self.decoded else ""
 
     def text(self, text: str) -> tuple[bytes, str]:
         """A whole text's ids and decoded text."""
@@ -286,7 +293,7 @@ class Encoder(dict):
                 found.append((array("i", [self.v.special[part]]).tobytes(), part))
             elif part:
                 found += map(self.__getitem__, self.words(part))
-        return b"".join([ids for ids, _ in found]), " ".join([label for _, label in found])
+        return b"".join([ids for ids, _ in found]), " ".join([label for _, label in found]) if self.decoded else ""
 
     def encode(self, text: str) -> list[int]:
         return array("i", self.text(text)[0]).tolist()
@@ -297,8 +304,8 @@ def decode(ids: Sequence[int], vocabulary: Vocabulary) -> str:
     return " ".join(vocabulary.labels[i] for i in ids if i in vocabulary.labels)
 
 
-def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The key, ids array<int> and decoded string of each row's whole text.
+def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", decoded: bool = True) -> DataFrame:
+    """The key, ids array<int> and, if asked for, decoded string of each row's whole text.
 
     Null and empty texts have no ids and decode to the empty text. Null keys stay, repeated rows are
     each encoded, an empty table gives none; other columns are not read. A text of any length takes
@@ -309,24 +316,26 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str =
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tables.value.encoder()
+        encoder = tables.value.encoder(decoded)
         for batch in batches:
             keys, texts = batch.column("key"), batch.column("text")
-            at, ids, ends, decoded, size = 0, array("i"), [0], [], 0
+            at, ids, ends, labels, size = 0, array("i"), [0], [], 0
             for row, value in enumerate(texts):
-                codes, labels = encoder.text(value.as_py() or "")
+                codes, label = encoder.text(value.as_py() or "")
                 ids.frombytes(codes)
-                decoded.append(labels)
+                labels.append(label)
                 ends.append(len(ids))
-                size += len(decoded[-1])
+                size += len(codes) + len(label)
                 if size > FLUSH or row == len(texts) - 1:
-                    values = pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids.tobytes())])
-                    listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-                    yield pa.RecordBatch.from_arrays([keys.slice(at, row + 1 - at), listed, pa.array(decoded, pa.string())], names=["key", "ids", "decoded"])
-                    at, ids, ends, decoded, size = row + 1, array("i"), [0], [], 0
+                    values = pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)])
+                    out = [keys.slice(at, row + 1 - at), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)]
+                    if decoded:
+                        out.append(pa.array(labels, pa.string()))
+                    yield pa.RecordBatch.from_arrays(out, names=["key", "ids", "decoded"][: len(out)])
+                    at, ids, ends, labels, size = row + 1, array("i"), [0], [], 0
 
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, ids array<int>, decoded string").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, f"key {kind}, ids array<int>{', decoded string' * decoded}").withColumnRenamed("key", key)
 
 
 def production_path() -> str:

@@ -207,9 +207,12 @@ def _texts(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            words = [words_of(t.as_py()) for t in batch.column("text")]
-            odd = pa.array([parity(w, hashes) for w in words], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("print"), batch.column("text"), pa.array([len(w) for w in words], pa.int64()), odd], names=["print", "text", "n", "odd"])
+            n, odd = [], []
+            for t in batch.column("text"):  # a text's words at a time, not those of all the batch
+                words = words_of(t.as_py())
+                n.append(len(words))
+                odd.append(parity(words, hashes))
+            yield pa.RecordBatch.from_arrays([batch.column("print"), batch.column("text"), pa.array(n, pa.int64()), pa.array(odd, pa.list_(pa.int64()))], names=["print", "text", "n", "odd"])
 
     return texts.mapInArrow(run, "print binary, text string, n bigint, odd array<bigint>")
 
@@ -366,8 +369,7 @@ def _rare_pairs(large: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            words = [words_of(t.as_py()) for t in batch.column("text")]
-            s = [rarest(w, hashes, known, counts) for w in words]
+            s = [rarest(words_of(t.as_py()), hashes, known, counts) for t in batch.column("text")]
             size = np.array([len(x) for x in s])
             row, h = np.repeat(np.arange(len(s)), size), np.concatenate(s).view(np.int64)
             start = np.repeat(np.cumsum(size) - size, size)

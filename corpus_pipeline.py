@@ -46,7 +46,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     rows, places, keys = mixing.mix_order(docs)
     key = f"{keys[0]}s"
-    encoded = bpe.encode_documents(rows.withColumn(key, F.struct("doc_id", *keys)), bpe.production_path(), key=key)
+    encoded = bpe.encode_documents(rows.withColumn(key, F.struct("doc_id", *keys)), bpe.production_path(), key=key, decoded=False)
     same = F.lit(True)
     for k in keys:
         same &= F.col(f"{key}.{k}").eqNullSafe(F.col(k))
