@@ -70,6 +70,16 @@ class WordHashes(dict):
         return h
 
 
+class CountedHashes(WordHashes):
+    """Those of Spark's xxhash64."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word, 42)
+        return h
+
+
 def words_of(text: str) -> list[bytes]:
     """The text's words in UTF-8. Bytes are split at just the six characters between words."""
     return text.encode().split()
@@ -319,24 +329,12 @@ def _second_hubs(large: DataFrame) -> DataFrame:
 
 
 def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of the FREQUENT words that most texts have."""
+    """Hashes (CountedHashes), sorted, and counts of the FREQUENT words that most texts have.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, count = WordHashes(), Counter()
-
-        def flushed() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(count), pa.int64()), pa.array(list(count.values()), pa.int64())], names=["h", "n"])
-            count.clear()
-            return out
-
-        for batch in batches:
-            for t in batch.column("text"):
-                count.update(hashed(list(set(words_of(t.as_py()))), hashes).view(np.int64).tolist())
-                if len(count) > CACHED_WORDS:
-                    yield flushed()
-        yield flushed()
-
-    counts = texts.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > 1)
+    Spark counts: each text's different words are a row each, as many as there are, however the texts are dealt.
+    """
+    words = F.array_remove(F.array_distinct(F.split("text", r"[\x20\x09-\x0D]+")), "")
+    counts = texts.select(F.explode(words).alias("word")).groupBy(F.xxhash64("word").alias("h")).agg(F.count("*").alias("n")).where(F.col("n") > 1)
     rows = sorted((r["h"], r["n"]) for r in counts.orderBy(F.col("n").desc(), "h").limit(FREQUENT).collect())
     table = np.array(rows, np.int64).reshape(-1, 2)
     return table[:, 0], table[:, 1]
@@ -367,7 +365,7 @@ def _rare_pairs(large: DataFrame, texts: DataFrame) -> DataFrame:
     known, counts = _frequent(own.select("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = CountedHashes()
         for batch in batches:
             s = [rarest(words_of(t.as_py()), hashes, known, counts) for t in batch.column("text")]
             size = np.array([len(x) for x in s])

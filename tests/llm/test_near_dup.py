@@ -298,3 +298,28 @@ def test_recall_on_a_corpus(spark, sf_dir):
     pairs = {p for v in index.values() if len(v) <= 60 for p in itertools.combinations(sorted(v), 2)}
     links = [(i, j) for (i, t), (j, u) in pairs if nd.alike(nd.words_of(t), nd.words_of(u))]
     assert len(links) > 5 and sum(cls[i] == cls[j] for i, j in links) >= 0.9 * len(links)
+
+
+def test_words_are_counted_over_all_texts(spark):
+    """Against a plain count, by the hashes that the rarest words are looked up with, however texts are dealt."""
+    words = ["a", "é", "中文", "🎉", "x" * 100, "nbsp\xa0kept", "\x1cword\x1f"]
+    texts = [RND.choice(" \t\n\x0b\x0c\r").join(RND.choices(words, k=12)) + "\r \n" * (i % 2) for i in range(60)] + ["", " \n", "once"]
+    plain = Counter(w for t in texts for w in set(re.findall(WORD, t)))
+    hashes = nd.CountedHashes()
+    want = {int(nd.hashed([w.encode()], hashes).view(np.int64)[0]): n for w, n in plain.items() if n > 1}
+    for parts in (1, 30):
+        known, counts = nd._frequent(spark.createDataFrame([(t,) for t in texts], "text string").repartition(parts))
+        assert dict(zip(known.tolist(), counts.tolist(), strict=True)) == want and (np.diff(known) > 0).all()
+
+
+def test_counting_words_makes_no_rows_by_task(spark, monkeypatch):
+    """What counting brings to its aggregation depends on the texts, not on how many tasks they are dealt to."""
+    texts = spark.createDataFrame([(" ".join(prose(50)),) for _ in range(40)], "text string")
+    made = []
+    for parts in (1, 20):
+        plans = []
+        with monkeypatch.context() as m:
+            m.setattr(type(texts), "groupBy", lambda df, *by, whole=type(texts).groupBy: plans.append(df) or whole(df, *by))
+            nd._frequent(texts.repartition(parts))
+        made.append(plans[0].count())
+    assert made[0] == made[1]
