@@ -117,7 +117,7 @@ class Store:
 
         view: 'points' as they came, 'hot' as an open segment shows them, 'archive' as a sealed one
         does. empty: a row of null ts and value for each matching series of the segments that the range
-        touches, if it has no point in the range.
+        touches by the clock, if it has no point in the range.
         """
         seconds, series = self.options.segment_seconds, self._read("series", SERIES)
         # What makes a point late or repeated is of its own series and segment.
@@ -128,15 +128,17 @@ class Store:
         if not empty:
             return found
         match = predicate(range_matchers(metric, matchers), F.col("labels"), F.col("metric"))
-        near = series.where(match & search.in_segments(start, end, seconds)).select("seg", "labels_key").distinct()
-        matched = near.join(self._chosen(start, end, False), "seg", "left_semi").select("labels_key").distinct()
+        matched = series.where(match & search.in_segments(start, end, seconds)).select("labels_key").distinct()
         return matched.join(found, "labels_key", "left").select("labels_key", "ts", "value")
 
     def query_series(self, matchers: Sequence[Matcher], start: int, end: int, strict: bool = False) -> DataFrame:
-        """labels_key and labels (a map) of each matching series."""
+        """labels_key and labels (a map) of each matching series of the segments that the range touches by
+        the clock; strict: by their points' own times, edges not counted."""
         match = predicate(matchers, F.col("labels"), F.col("metric"))
         near = self._read("series", SERIES).where(match & search.in_segments(start, end, self.options.segment_seconds))
-        return near.join(self._chosen(start, end, strict), "seg", "left_semi").select("labels_key", "labels").dropDuplicates(["labels_key"])
+        if strict:
+            near = near.join(self._chosen(start, end, strict), "seg", "left_semi")
+        return near.select("labels_key", "labels").dropDuplicates(["labels_key"])
 
     def query_label_values(self, name: str, start: int, end: int, strict: bool = False) -> DataFrame:
         value = F.col("metric") if name == METRIC else F.element_at("labels", name)

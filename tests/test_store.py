@@ -87,6 +87,18 @@ def test_views_and_empty_series(spark, tmp_path):
     assert {r["labels_key"]: r["labels"] for r in store.query_series([Matcher("a", "2")], T, T + 100).collect()} == {'{__name__="m", a="2"}': {METRIC: "m", "a": "2"}}
 
 
+def test_series_of_segments_touched_by_the_clock(spark, tmp_path):
+    """Also of one whose first point comes after the range, or whose last comes before it."""
+    store = Store(spark, str(tmp_path / "s"), Options(segment_seconds=86_400))
+    day = T // 86_400 * 86_400
+    store.append(rows(spark, ("m", "1", day + 10, 1.0), ("m", "2", day + 86_400 + 500, 2.0), ("m", "3", day + 2 * 86_400, 3.0)))
+    span = (day + 1000, day + 86_400 + 100)
+    got = store.query_range("m", [], *span, empty=True).collect()
+    assert sorted(map(tuple, got)) == [(f'{{__name__="m", a="{i}"}}', None, None) for i in "12"]
+    assert sorted(r["labels"]["a"] for r in store.query_series([Matcher("a", ".*", True)], *span).collect()) == ["1", "2"]
+    assert store.query_series([Matcher("a", ".*", True)], *span, strict=True).collect() == []
+
+
 def test_an_append_counts_once_and_when_committed(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     for _ in range(2):
