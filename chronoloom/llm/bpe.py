@@ -310,18 +310,22 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str =
     Null and empty texts have no ids and decode to the empty text. Null keys stay, repeated rows are
     each encoded, an empty table gives none; other columns are not read. A text of any length takes
     time in proportion to it; results go out in batches of bounded size. The vocabulary file is read
-    on the driver, and its tables, bounded by the vocabulary, are broadcast. No shuffle.
+    on the driver, and its tables, bounded by the vocabulary, are broadcast. Equal texts that follow each
+    other are encoded once. No shuffle.
     """
     tables = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tables.value.encoder(decoded)
+        last, done = "", encoder.text("")
         for batch in batches:
             keys, texts = batch.column("key"), batch.column("text")
             at, ids, ends, labels, size = 0, array("i"), [0], [], 0
             for row, value in enumerate(texts):
-                codes, label = encoder.text(value.as_py() or "")
+                if (words := value.as_py() or "") != last:
+                    last, done = words, encoder.text(words)
+                codes, label = done
                 ids.frombytes(codes)
                 labels.append(label)
                 ends.append(len(ids))

@@ -138,27 +138,32 @@ def _scheduled(share: Column, schedules: Sequence[Schedule]) -> Column:
     return F.round(time, 9)
 
 
-def mix_order(mixed: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", schedules=SCHEDULES) -> tuple[DataFrame, DataFrame, list[str]]:
+def mix_order(mixed: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", schedules=SCHEDULES) -> tuple[DataFrame, DataFrame, DataFrame, str]:
     """The order of a mix whose rows have lost it, as files have none: its different rows, once each,
-    with added columns; and (those columns, copy, position) for each row of the mix; and their names.
+    with a digest added that tells them apart; (digest, copy, position) for each row of the mix; (digest,
+    times) for each different row; and the digest's name.
 
     Rows of a source are lined up as mix_plan() does, first copies first, and the schedule's integral
     is inverted at the words before each. That is the mix's own order within each source, and its
     training times up to the words that were rounded to whole texts. Null keys, texts and sources count
     as values; rows without words stand where their keys put them; an empty mix gives none.
+
+    The digest is one column, never null, so that a join by it takes the different rows as they were dealt
+    when made distinct, without moving their texts again.
     """
     marked, free = _marked(mixed, text, source, key)
     named = {f"{free}k{i}": F.col(c) for i, c in enumerate((key, f"{free}print", f"{free}rest", source))}
-    marked = marked.withColumns(named)
-    keys = list(named)
-    items = cut(marked.groupBy(*keys, F.col(f"{free}size").alias("size")).agg(F.count("*").alias("times")))
+    keys, row = list(named), f"{free}row"
+    marked = marked.withColumns(named).withColumn(row, F.md5(F.to_json(F.struct(*keys))))
+    items = cut(marked.groupBy(row, *keys, F.col(f"{free}size").alias("size")).agg(F.count("*").alias("times")))
     totals = items.groupBy(F.col(keys[3]).alias("source")).agg(F.sum(F.col("size") * F.col("times")).alias("due"))
     sources = cut(_nth(cut(totals)))
     slots = items.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
     order = [F.col("copy"), F.md5(F.col(keys[0]).cast("string")), *(F.col(k) for k in keys[:3]), F.col("size")]
     lined = running_sum(slots, [keys[3]], order, "size", "start").join(hinted(sources, sources.count()), F.col(keys[3]).eqNullSafe(F.col("source")))
     share = F.when(F.col("due") > 0, F.col("start") / F.col("due")).otherwise(F.lit(0.0))
-    return marked.dropDuplicates(keys), lined.select(*keys, "copy", _scheduled(share, schedules).alias("position")), keys
+    places = lined.select(row, "copy", _scheduled(share, schedules).alias("position"))
+    return marked.dropDuplicates([row]), places, items.select(row, "times"), row
 
 
 def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:

@@ -15,7 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.llm import bpe, mixing, near_dup, quality_rules, secrets
-from chronoloom.llm.common import cut, read
+from chronoloom.llm.common import cut, hinted, read
+
+#: Copies of a row up to which one task writes all of them.
+OFTEN = 64
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,14 +46,23 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Files keep no order, so the position says where in training a row stands. Rows that the mix
     repeats are encoded once. Null texts have no ids.
+
+    Each text moves once: rows meet their places where they were made distinct, before they are
+    encoded, and a row's copies follow each other there. Rows repeated more than OFTEN times, whose copies
+    one task would have to write, meet them after, by a join that adaptive execution splits.
     """
-    rows, places, keys = mixing.mix_order(docs)
-    key = f"{keys[0]}s"
-    encoded = bpe.encode_documents(rows.withColumn(key, F.struct("doc_id", *keys)), bpe.production_path(), key=key, decoded=False)
-    same = F.lit(True)
-    for k in keys:
-        same &= F.col(f"{key}.{k}").eqNullSafe(F.col(k))
-    return encoded.join(places, same).select(F.col(f"{key}.doc_id").alias("doc_id"), "ids", "copy", "position")
+    rows, places, times, row = mixing.mix_order(docs)
+    rows = rows.select("doc_id", "text", row)
+    often = times.where(F.col("times") > OFTEN).select(row)
+    n = often.count()
+    few = places.join(hinted(often, n), row, "left_anti") if n else places
+    placed = rows.join(few, row).select("text", F.struct("doc_id", "copy", "position").alias(row))
+    out = bpe.encode_documents(placed, bpe.production_path(), key=row, decoded=False).select(f"{row}.doc_id", "ids", f"{row}.copy", f"{row}.position")
+    if not n:
+        return out
+    some = rows.join(hinted(often, n), row, "left_semi").select("text", F.struct("doc_id", row).alias("doc_id"))
+    encoded = bpe.encode_documents(some, bpe.production_path(), decoded=False).select("doc_id.*", "ids")
+    return out.unionByName(encoded.join(places.join(hinted(often, n), row, "left_semi"), row).select(*out.columns))
 
 
 STAGES = [

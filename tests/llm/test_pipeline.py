@@ -66,3 +66,27 @@ def test_edges(spark, tmp_path, stage):
 def test_empty_documents(spark, tmp_path):
     d = saved(spark, tmp_path, documents=spark.createDataFrame([], DOCS))
     assert corpus_pipeline.run(spark, d).collect() == []
+
+
+def test_encode_moves_each_text_once(spark, tmp_path, monkeypatch):
+    """No exchange holds codes; rows repeated often are placed alike."""
+    rows = [(i % 40, f"words of text {i % 40}", "ab"[i % 2]) for i in range(70)] + [(None, None, None)] * 3 + [(5, "other words", "a")]
+    docs = docs_of(spark, rows)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.encode(spark, docs, str(tmp_path))
+        plan = out._jdf.queryExecution().executedPlan().toString().split("\n")
+        above = plan[: next(i for i, line in enumerate(plan) if "MapInArrow" in line)]
+        assert not any("Exchange" in line for line in above)
+        plan = [line for line in plan if "Aggregate" in line and "text" in line]
+        assert len(plan) == 2  # before and after the one exchange
+        got = sorted(map(tuple, out.collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    library = Tokenizer.from_file(bpe.production_path())
+    assert len(got) == len(rows) and len({(r[0], tuple(r[1]), r[2]) for r in got}) == len(rows)
+    texts = {r[:2] for r in rows}
+    assert {(i, tuple(ids)) for i, ids, _, _ in got} == {(i, tuple(library.encode(t or "", add_special_tokens=False).ids)) for i, t in texts}
+    monkeypatch.setattr(corpus_pipeline, "OFTEN", 1)
+    assert sorted(map(tuple, corpus_pipeline.encode(spark, docs, str(tmp_path)).collect()), key=repr) == got
