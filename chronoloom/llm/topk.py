@@ -29,6 +29,10 @@ SCALE = 256
 BLOCK = 16_384
 QUERY_BLOCK = 2_048
 LEVELS = 16
+#: Times that a search asks whether it may stop; between them, segments are added together.
+ROUNDS = 8
+#: Doubles hold all integers up to this.
+EXACT = float(1 << 53)
 #: Sums below this, with room for the few that are added to each other, are safe in 64 bits.
 SAFE = float(1 << 60)
 
@@ -48,6 +52,7 @@ def build_block(ids: np.ndarray, vectors: np.ndarray, levels: int = LEVELS) -> d
     starts = np.stack([np.searchsorted(row, np.arange(levels + 1)) for row in quantised]) if dims else np.zeros((0, levels + 1), np.int64)
     first = np.take_along_axis(ranked, np.minimum(starts[:, :-1], n - 1), axis=1)
     last = np.take_along_axis(ranked, np.maximum(starts[:, 1:] - 1, 0), axis=1)
+    order = np.ascontiguousarray(order)  # a dimension's postings lie side by side
     return {"ids": ids, "vectors": vectors, "order": order, "starts": starts, "first": first, "last": last}
 
 
@@ -61,6 +66,15 @@ def score_all(index: dict[str, np.ndarray], query_id: int, weights: np.ndarray,
     return [(i, -s) for s, i in best]
 
 
+def _sums(places: np.ndarray, gains: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the gains, none negative, at each of n places. Doubles hold them exactly below 2^53."""
+    if float(gains.max(initial=0)) * len(gains) < EXACT:
+        return np.bincount(places, gains, n).astype(np.int64)
+    out = np.zeros(n, np.int64)
+    np.add.at(out, places, gains)
+    return out
+
+
 def search_block(index: dict[str, np.ndarray], query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
     """The k best (vec_id, score) of one block for one query; rows of the query's id take no part."""
     ids, vectors, order, starts = index["ids"], index["vectors"], index["order"], index["starts"]
@@ -74,8 +88,8 @@ def search_block(index: dict[str, np.ndarray], query_id: int, query: np.ndarray,
     if most @ np.abs(weights.astype(float)) >= SAFE / 4:
         return score_all(index, query_id, weights, k)
     counts = np.diff(starts, axis=1)
-    ends = np.stack([index["first"] * weights[:, None], index["last"] * weights[:, None]])
-    floor, ceiling = ends.min(axis=0), ends.max(axis=0)
+    either = np.stack([index["first"] * weights[:, None], index["last"] * weights[:, None]])
+    floor, ceiling = either.min(axis=0), either.max(axis=0)
     least = np.where(counts > 0, floor, np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max) if dims else np.zeros(0, np.int64)
     floor, ceiling = floor - least[:, None], ceiling - least[:, None]
     live = (counts > 0) & (weights != 0)[:, None]
@@ -86,31 +100,36 @@ def search_block(index: dict[str, np.ndarray], query_id: int, query: np.ndarray,
     ceilings = ceiling[at_dim, at_level]
     following = np.zeros(len(at_dim), np.int64)  # ceiling of the dimension's next segment
     upcoming = np.zeros(dims, np.int64)
-    for s in range(len(at_dim) - 1, -1, -1):
-        following[s] = upcoming[at_dim[s]]
-        upcoming[at_dim[s]] = ceilings[s]
+    own = np.argsort(at_dim, kind="stable")  # each dimension's segments in turn, by impact
+    same = at_dim[own][1:] == at_dim[own][:-1]
+    following[own[:-1][same]] = ceilings[own[1:][same]]
+    leading = own[np.append(True, ~same)[: len(own)]]
+    upcoming[at_dim[leading]] = ceilings[leading]
     bound = np.maximum(slack, upcoming)
-    rest = int(bound.sum())
     base = int(least[weights != 0].sum())
     acc = np.zeros(n, np.int64)
-    check = max(1, len(at_dim) // 8)
+    flat, gains = order.reshape(-1), floor[at_dim, at_level]
+    begins, sizes = at_dim * n + starts[at_dim, at_level], counts[at_dim, at_level]
+    ends = begins + sizes
+    nows = np.maximum(slack[at_dim], following)
     possible = np.flatnonzero(allowed)
-    for s, (d, level) in enumerate(zip(at_dim.tolist(), at_level.tolist(), strict=True), 1):
-        gain = floor[d, level]
-        if gain:
-            acc[order[d, starts[d, level] : starts[d, level + 1]]] += gain
-        now = max(slack[d], following[s - 1])
-        rest += int(now - bound[d])
-        bound[d] = now
-        if s % check == 0 or s == len(at_dim):
-            shown = np.where(allowed, acc, -1)
-            best = np.argpartition(shown, n - k)[n - k :] if n > k else np.arange(n)
-            best = best[allowed[best]]
-            exact = np.sort(vectors[best] @ weights)
-            if len(exact) >= k:
-                possible = np.flatnonzero(allowed & (acc + (rest + base) >= exact[-k]))
-                if len(possible) <= max(4 * k, n // 16):
-                    break
+    for at in range(0, len(at_dim), max(1, len(at_dim) // ROUNDS)):
+        taken = slice(at, at + max(1, len(at_dim) // ROUNDS))
+        some = np.flatnonzero(gains[taken]) + at
+        if len(some):
+            postings = np.concatenate([flat[i:j] for i, j in zip(begins[some].tolist(), ends[some].tolist(), strict=True)])
+            acc += _sums(postings, np.repeat(gains[some], sizes[some]), n)
+        # A dimension's last segment of the round says what it may still add.
+        bound[at_dim[taken]] = nows[taken]
+        rest = int(bound.sum())
+        shown = np.where(allowed, acc, -1)
+        best = np.argpartition(shown, n - k)[n - k :] if n > k else np.arange(n)
+        best = best[allowed[best]]
+        exact = np.sort(vectors[best] @ weights)
+        if len(exact) >= k:
+            possible = np.flatnonzero(allowed & (acc + (rest + base) >= exact[-k]))
+            if len(possible) <= max(4 * k, n // 16):
+                break
     scores = vectors[possible] @ weights
     if len(possible) > 8 * k:
         keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
@@ -203,6 +222,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, qu
         for batch in batches:
             for data, asked in zip(batch.column("index"), batch.column("queries"), strict=True):
                 parsed = _unpack(data.as_py())
+                parsed["order"] = parsed["order"].astype(np.intp)  # once, not for each query
                 out: list[tuple[int, str, int, int]] = []
                 for q in asked.as_py():
                     found = search_block(parsed, q["id"], np.array(q["v"], np.int64), k)

@@ -78,3 +78,24 @@ def test_sums_beyond_64_bits_are_exact():
 def test_components_beyond_a_long_fail(spark):
     with pytest.raises(Exception, match="no long"):
         topk.integer_vectors(spark.createDataFrame([(1, [1e30], 0)], VECTORS)).collect()
+
+
+def test_segments_are_added_in_few_rounds(monkeypatch):
+    """Not one by one, which took the more calls the more blocks and queries there were."""
+    rnd = np.random.default_rng(5)
+    v = rnd.normal(0, 40, (3000, 32)).astype(np.int64)
+    index, calls, sums = topk.build_block(np.arange(3000), v), [], topk._sums
+    monkeypatch.setattr(topk, "_sums", lambda *a: calls.append(len(a[0])) or sums(*a))
+    assert topk.search_block(index, 7, v[7], 5) == best(list(enumerate(v.tolist())), 7, v[7].tolist(), 5)
+    assert 0 < len(calls) <= 2 * topk.ROUNDS and sum(calls) > 3000 and index["order"].flags.c_contiguous
+
+
+def test_rounds_beyond_doubles_are_exact(monkeypatch):
+    """Sums from 2^53 on, which doubles would round, but of 64 bits."""
+    rnd = np.random.default_rng(6)
+    v = rnd.integers(-(1 << 27), 1 << 27, (400, 6))
+    index, calls, add = topk.build_block(np.arange(400), v), [], topk.score_all
+    monkeypatch.setattr(topk, "score_all", lambda *a: calls.append(1) or add(*a))
+    for q in range(0, 400, 9):
+        assert topk.search_block(index, q, v[q], 5) == best(list(enumerate(v.tolist())), q, v[q].tolist(), 5)
+    assert not calls
